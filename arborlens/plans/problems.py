@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlens.functions.paths import plain_path
-from arborlens.operators.events import with_sound_op
+from arborlens.operators.events import agents, with_sound_op
 from arborlens.operators.heavy import distinct_members, heavy_keys
+from arborlens.operators.inline import flatten, latest
 from arborlens.operators.runs import collapse_runs
+from arborlens.operators.schemas import conform, schema_changes
 from arborlens.operators.sessions import sessionize
+from arborlens.scratch import cut
 from arborlens.tables import table
 
 #: A repeated event follows within so many microseconds, and its delta differs by so much at most.
@@ -64,6 +67,60 @@ def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return distinct_members(_hub_pairs(spark, d), ["path"], "snapshot_id", {"most_importers": F.max("importers")}).select("path", F.col("members").alias("snapshots"), "most_importers")
 
 
+_RAW = ("lineage", "file_name", "file_written_at", "payload")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_changes(table(spark, d, "handoff_raw"), *_RAW).select("file_name", "change_kind", "old_path", "new_path")
+
+
+def p3_moves(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_found, but what reappears unchanged under another parent is one move."""
+    return schema_changes(table(spark, d, "handoff_raw"), *_RAW, moves=True).select("file_name", "change_kind", "old_path", "new_path")
+
+
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    """All readable records in one schema, each once however often it was loaded."""
+    raw = table(spark, d, "handoff_raw").dropDuplicates(["record_id"])
+    changes = cut(schema_changes(raw, *_RAW, moves=True), "changes")
+    one = conform(raw, changes, *_RAW, keep=["record_id"])
+    get = lambda name: F.col("fields")[name]
+    return one.select(
+        "record_id", "lineage", "file_name", get("schema_version").alias("schema_version"), get("root").alias("root"), get("branch").alias("branch"), get("base_ref").alias("base_ref"), get("generated_at").alias("generated_at"),
+        get("prefix.file_count").alias("file_count"), get("changed_files").alias("changed_files"), get("delta.changed").alias("delta_changed"), F.to_json("fields").alias("fields"),
+    )
+
+
+def artifact_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The hand-off artifacts, last version of each, as flat tables."""
+    newest = latest(table(spark, d, "handoff_artifact"), ["artifact_id"], ["written_at"])
+    return flatten(newest.withColumn("agent_history", agents(F.col("agent_history"))), ["artifact_id"], "artifact")
+
+
+#: The column that identifies an element in each child table.
+_ITEM_KEY = {"hubs": "path", "changed": "path", "risk_files": "path", "recent_events": "path", "next_steps": "value", "open_questions": "value", "agent_history": "agent_id", "files_edited": "path"}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    tables = artifact_tables(spark, d)
+    whole = None
+    for child, item in _ITEM_KEY.items():
+        one = tables[child].select("artifact_id", F.lit(child).alias("child"), "outer_pos", "pos", F.col(f"`{item}`").alias("item_key"))
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
+
+
+def p6_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """The table of the records themselves, with what occurs once in each inlined."""
+    t = artifact_tables(spark, d)["artifact"]
+    return t.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in t.columns])
+
+
+def p6_edits(spark: SparkSession, d: str) -> DataFrame:
+    """The deepest table: single edits, with the places of the agent entry and of the file they belong to."""
+    return artifact_tables(spark, d)["edits"].select("artifact_id", F.col("places")[0].alias("agent_pos"), F.col("places")[1].alias("file_pos"), "pos", "line", "delta")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_sessions(spark, d).select("root", "first_event_id", "last_event_id")
 
@@ -74,4 +131,4 @@ def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessionize(events, ["root"], "ts", "event_id", SESSION_GAP_US)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_importers, p2_snapshots, p5_found, p5_sessions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_importers, p2_snapshots, p3_found, p3_moves, p3_table, p5_found, p5_sessions, p6_found, p6_artifacts, p6_edits)}
