@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm import language, leaks
+from arborlens.llm import authored, language, leaks
 from arborlens.tables import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return authored.classify(table(spark, d, "files"), table(spark, d, "contents")).filter(F.col("reason").isNotNull()).select("file_id")
+
+
+def p4_written(spark: SparkSession, d: str) -> DataFrame:
+    """The hand-written files."""
+    return authored.classify(table(spark, d, "files"), table(spark, d, "contents")).filter(F.col("reason").isNull()).select("file_id", "root", "path")
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with the reason why it is not hand-written, null if it is."""
+    return authored.classify(table(spark, d, "files"), table(spark, d, "contents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -22,4 +36,4 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(table(spark, d, "documents"), table(spark, d, "lang_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p9_found, p9_languages)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_written, p4_reasons, p8_found, p9_found, p9_languages)}
