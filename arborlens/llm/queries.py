@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.llm import authored, language, leaks
+from arborlens.llm import authored, language, leaks, packing
 from arborlens.tables import table
 
 
@@ -23,6 +23,22 @@ def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     return authored.classify(table(spark, d, "files"), table(spark, d, "contents"))
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every text in the windows of each capacity."""
+    return packing.pack_all(table(spark, d, "documents"), table(spark, d, "pack_windows"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Of each capacity its windows, the tokens in them, the windows that are full, and the fewest that could hold them."""
+    packed = packing.pack_all(table(spark, d, "documents"), table(spark, d, "pack_windows")).filter(F.col("window").isNotNull())
+    one = packed.groupBy("window_id", "window").agg(F.sum("tokens").alias("tokens"))
+    cap = table(spark, d, "pack_windows").select("window_id", "capacity_tokens")
+    return one.join(F.broadcast(cap), "window_id").groupBy("window_id", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") == F.col("capacity_tokens")).alias("full_windows"),
+        F.ceil(F.sum("tokens") / F.first("capacity_tokens")).alias("least_windows"), F.max("tokens").alias("most_tokens"),
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -36,4 +52,4 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(table(spark, d, "documents"), table(spark, d, "lang_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_written, p4_reasons, p8_found, p9_found, p9_languages)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_written, p4_reasons, p7_packed, p7_fill, p8_found, p9_found, p9_languages)}
