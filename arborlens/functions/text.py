@@ -39,7 +39,6 @@ def is_test(path: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes as a number with one decimal and a unit of 1024."""
-    out = F.format_string("%d%s", n, F.lit("B"))
     out = F.format_string("%.1f%s", n / 1024, F.lit("KB"))
     for k, unit in ((2, "MB"), (3, "GB"), (4, "TB")):
         out = F.when(n >= 1024**k, F.format_string("%.1f%s", n / 1024**k, F.lit(unit))).otherwise(out)
@@ -49,12 +48,12 @@ def human_size(n: Column) -> Column:
 def cut_at_line(text: Column, most: int, note: str = "\n\n... (truncated)\n") -> Column:
     """A text of more than ``most`` bytes, cut there, or at the last line end within the final 1000 bytes, with a note."""
     raw = F.substring(F.encode(text, "UTF-8"), 1, most)
-    kept = F.decode(raw, "UTF-8")
-    # a letter cut in two decodes to a replacement mark, which goes
+    kept = F.make_valid_utf8(raw.cast("string"))
+    # a letter cut in two becomes a replacement mark, which goes
     kept = F.regexp_replace(kept, "�+$", "")
-    tail = F.regexp_extract(kept, r"\n[^\n]*$", 0)
+    tail = F.regexp_extract(kept, r"\n[^\n]*\z", 0)
     at_line = (tail != "") & (F.octet_length(kept) - F.octet_length(tail) > max(most - 1000, 0))
-    short = F.when(at_line, F.expr("1") * 0 + F.length(kept) - F.length(tail)).otherwise(F.length(kept))
+    short = F.when(at_line, F.length(kept) - F.length(tail)).otherwise(F.length(kept))
     return F.when(F.octet_length(text) > most, F.concat(F.left(kept, short), F.lit(note))).otherwise(text)
 
 

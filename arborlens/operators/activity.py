@@ -133,11 +133,18 @@ def bursts(events: DataFrame, gap: str = "150 milliseconds", key: list[str] = ("
     return events.groupBy(*key, w.alias("w")).agg(F.count(F.lit(1)).alias("events"), F.bool_or(F.col("op") == "REMOVE").alias("removed")).select(*key, F.col("w.start").alias("began"), "events", "removed")
 
 
+def _padded(text: Column, width: int, left: bool) -> Column:
+    """Filled with blanks to a width, never cut."""
+    fill = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(text), F.lit(0)))
+    return F.concat(fill, text) if left else F.concat(text, fill)
+
+
 def log_line(ts: Column, op: Column, path: Column, lines: Column, delta: Column, dirty: Column) -> Column:
-    """An event as a line of the log, in columns of fixed width."""
-    return F.concat(
-        F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" | "), F.rpad(op, 6, " "), F.lit(" | "), path, F.lit(" | "), F.lpad(F.coalesce(lines, F.lit(0)).cast("string"), 5, " "),
-        F.lit(" | "), F.format_string("%+d", F.coalesce(delta, F.lit(0))), F.when(dirty, F.lit(" | dirty")).otherwise(F.lit("")),
+    """An event as a line of the log, in columns that are filled to a width."""
+    change = F.when(delta > 0, F.concat(F.lit("+"), delta.cast("string"))).when(delta < 0, delta.cast("string")).otherwise("")
+    return F.concat_ws(
+        " | ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), _padded(op, 6, False), _padded(path, 40, False), _padded(F.coalesce(lines, F.lit(0)).cast("string"), 4, True),
+        _padded(F.coalesce(change, F.lit("")), 6, True), F.when(dirty, "dirty").otherwise(""),
     )
 
 

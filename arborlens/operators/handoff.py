@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Endings of binary files and directories of tools, which no hand-off lists.
-BINARY = "png jpg jpeg gif bmp ico webp pdf zip gz tar tgz bz2 xz 7z exe dll so dylib a o class jar wasm mp3 mp4 mov avi woff woff2 ttf otf eot db sqlite log".split()
-TOOLS = ".git .codemap node_modules dist build target __pycache__ .venv venv .idea .vscode".split()
+BINARY = (
+    "exe dll bin o a so dylib wasm class jar zip tar gz 7z png jpg jpeg gif webp ico bmp tiff mp3 wav ogg mp4 mov avi log out pdf ttf otf woff woff2"
+).split()
+TOOLS = ".git .arborlens node_modules vendor dist build target __pycache__ .next .nuxt".split()
 
 
 def listed(path: Column, content: Column | None = None) -> Column:
@@ -25,8 +27,8 @@ def canonical(row: Column) -> Column:
 
 
 def chained(*parts: Column) -> Column:
-    """The hash of texts joined by ``:``."""
-    return F.sha2(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    """The hash of texts, each followed by ``:``."""
+    return F.sha2(F.concat(*[x for p in parts for x in (F.coalesce(p.cast("string"), F.lit("")), F.lit(":"))]), 256)
 
 
 def metrics(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -60,12 +62,13 @@ def last_agents(history: Column, most: int = 20) -> Column:
     return F.slice(history, F.greatest(F.size(history) - most + 1, F.lit(1)), F.lit(most))
 
 
-def guidance(changed: DataFrame, risk: DataFrame) -> DataFrame:
-    """One row (next_steps, open_questions): what to do first with so many changes and risks."""
-    c = changed.agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("status") == "untracked").alias("u"))
-    r = risk.agg(F.count(F.lit(1)).alias("r"), F.min_by("path", F.struct(-F.col("importers"), F.col("path"))).alias("top"))
-    kept = lambda a: F.filter(a, lambda s: s.isNotNull())
-    return c.join(F.broadcast(r), F.lit(True)).select(
-        kept(F.array(F.when(F.col("c") == 0, F.lit("nothing changed")), F.when(F.col("r") > 0, F.concat(F.lit("review "), F.col("top"))), F.when(F.col("u") > 0, F.format_string("add or ignore %d untracked files", "u")))).alias("next_steps"),
-        kept(F.array(F.when(F.col("r") > 0, F.format_string("are dependents of %d files at risk tested?", "r")))).alias("open_questions"),
-    )
+def guidance(facts: DataFrame) -> DataFrame:
+    """(key, next_steps, open_questions); ``facts``: changed, risk, events (counts), has_state, has_graph and any key columns."""
+    kept = lambda *a: F.filter(F.array(*a), lambda s: s.isNotNull())
+    some, none = F.col("changed") > 0, F.col("changed") == 0
+    steps = kept(F.when(F.col("risk") > 0, F.lit("review dependents of files at risk")), F.when(some, F.lit("run tests of changed files")))
+    questions = kept(
+        F.when(none, F.lit("no changes found: are base and branch right?")), F.when(~F.col("has_state"), F.lit("no live state: events may be missing")),
+        F.when(~F.col("has_graph"), F.lit("no import graph: files at risk may be missing")), F.when((F.col("events") == 0) & F.col("has_state"), F.lit("no recent events")),
+    )
+    return facts.select(*[c for c in facts.columns if c not in ("changed", "risk", "events", "has_state", "has_graph")], steps.alias("next_steps"), questions.alias("open_questions"))

@@ -56,6 +56,52 @@ _HUBS = f"""
 hubs AS (SELECT {plain("path", "root")} AS path, snapshot_id, importers FROM hub_summary WHERE path IS NOT NULL)
 """
 
+_TREES = r"""
+RECURSIVE recs AS (SELECT lineage, file_name, file_written_at, payload::JSON AS j FROM handoff_raw WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+nodes AS (SELECT DISTINCT lineage, file_name, replace(regexp_replace(regexp_replace(t.fullkey, '\[\d+\]', '[]', 'g'), '^\$\.?', ''), '"', '') AS path,
+  CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind
+  FROM recs, json_tree(j) t WHERE t.type <> 'NULL'),
+types AS (SELECT lineage, file_name, path, string_agg(kind, '|' ORDER BY kind) AS kinds,
+  CASE WHEN path LIKE '%[]' THEN left(path, length(path) - 2) WHEN contains(path, '.') THEN regexp_replace(path, '\.[^.]*$', '') ELSE '' END AS parent FROM nodes GROUP BY lineage, file_name, path),
+steps AS (SELECT lineage, file_name, lag(file_name) OVER (PARTITION BY lineage ORDER BY min(file_written_at), file_name) AS before FROM recs GROUP BY lineage, file_name),
+old AS (SELECT s.file_name AS f, t.* FROM steps s JOIN types t ON t.lineage IS NOT DISTINCT FROM s.lineage AND t.file_name = s.before),
+new AS (SELECT s.file_name AS f, t.* FROM steps s JOIN types t ON t.lineage IS NOT DISTINCT FROM s.lineage AND t.file_name = s.file_name WHERE s.before IS NOT NULL),
+retyped AS (SELECT o.f, o.path FROM old o JOIN new n ON o.f = n.f AND o.lineage = n.lineage AND o.path = n.path WHERE o.kinds <> n.kinds),
+gone AS (SELECT o.f, o.lineage, o.path, o.kinds, o.parent FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.f = o.f AND n.lineage = o.lineage AND n.path = o.path)
+  AND EXISTS (SELECT 1 FROM new n WHERE n.f = o.f AND n.lineage = o.lineage AND n.path = o.parent)),
+come AS (SELECT n.f, n.lineage, n.path, n.kinds, n.parent FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE n.f = o.f AND n.lineage = o.lineage AND n.path = o.path)
+  AND EXISTS (SELECT 1 FROM old o WHERE n.f = o.f AND n.lineage = o.lineage AND o.path = n.parent)),
+sides AS (SELECT *, 'gone' AS side FROM gone UNION ALL SELECT *, 'come' FROM come),
+counted AS (SELECT *, count(*) FILTER (side = 'gone') OVER w AS g, count(*) FILTER (side = 'come') OVER w AS c, min(path) FILTER (side = 'gone') OVER w AS a, min(path) FILTER (side = 'come') OVER w AS z
+  FROM sides WINDOW w AS (PARTITION BY f, lineage, parent, kinds)),
+changes AS (SELECT f, 'retyped' AS change_kind, path AS old_path, path AS new_path, path FROM retyped
+  UNION ALL SELECT DISTINCT f, 'renamed', a, z, a FROM counted WHERE g = 1 AND c = 1
+  UNION ALL SELECT f, 'removed', path, '', path FROM counted WHERE side = 'gone' AND NOT (g = 1 AND c = 1)
+  UNION ALL SELECT f, 'added', '', path, path FROM counted WHERE side = 'come' AND NOT (g = 1 AND c = 1))
+SELECT f AS file_name, change_kind, old_path, new_path FROM changes x
+WHERE NOT EXISTS (SELECT 1 FROM retyped r WHERE r.f = x.f AND (starts_with(x.path, r.path || '.') OR starts_with(x.path, r.path || '[]')))
+"""
+
+_ARTIFACTS = r"""
+best AS (SELECT * FROM handoff_artifact QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY written_at DESC) = 1),
+once AS (SELECT artifact_id, CASE WHEN json_valid(agent_history) THEN agent_history::JSON END AS v FROM best),
+twice AS (SELECT artifact_id, CASE WHEN json_type(v) = 'VARCHAR' THEN CASE WHEN json_valid(v->>'$') THEN (v->>'$')::JSON END ELSE v END AS v FROM once),
+lists AS (SELECT artifact_id, from_json(CASE json_type(v) WHEN 'OBJECT' THEN json_array(v) WHEN 'ARRAY' THEN v END, '["JSON"]') AS l FROM twice),
+entries AS (SELECT artifact_id, CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS pos, unnest(l) AS e FROM lists WHERE l IS NOT NULL),
+agents AS (SELECT * FROM entries WHERE json_type(e) <> 'NULL'),
+edited AS (SELECT artifact_id, pos AS outer_pos, from_json(CASE WHEN json_type(e->'files_edited') = 'ARRAY' THEN e->'files_edited' END, '["JSON"]') AS l FROM agents),
+files1 AS (SELECT artifact_id, outer_pos, CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS pos, unnest(l) AS x FROM edited WHERE l IS NOT NULL)
+"""
+
+
+def _child(name: str, array: str, item: str) -> str:
+    return f"SELECT artifact_id, '{name}' AS child, -1 AS outer_pos, pos, {item} AS item_key FROM (SELECT artifact_id, CAST(unnest(generate_series(0, len({array}) - 1)) AS INT) AS pos, unnest({array}) AS x FROM best WHERE {array} IS NOT NULL) WHERE x IS NOT NULL"
+
+
+_CHILDREN = " UNION ALL ".join(
+    [_child("hubs", "prefix.hubs", "x.path"), *(_child(n, f"delta.{n}", "x.path") for n in ("changed", "risk_files", "recent_events")), *(_child(n, f"delta.{n}", "x") for n in ("next_steps", "open_questions"))]
+)
+
 SQL = {
     "p1_found": f"{_RUNS} SELECT root, first_event_id, last_event_id FROM runs WHERE events > 1",
     "p1_collapsed": f"{_RUNS} SELECT root, op, path, first_event_id, last_event_id, events, started_at, ended_at, duration_us FROM runs",
@@ -66,6 +112,14 @@ SQL = {
       SELECT 'hub_summary', path FROM spairs GROUP BY path HAVING count(*) >= 0.01 * (SELECT count(*) FROM spairs)""",
     "p2_importers": f"WITH {_IMPORTERS} SELECT path, count(importer) AS importers FROM pairs GROUP BY path",
     "p2_snapshots": f"WITH {_HUBS} SELECT path, count(DISTINCT snapshot_id) AS snapshots, max(importers) AS most_importers FROM hubs GROUP BY path",
+    "p3_found": f"WITH {_TREES}",
     "p5_found": f"{_SESSIONS} SELECT root, first_event_id, last_event_id FROM sessions",
     "p5_sessions": f"{_SESSIONS} SELECT root, first_event_id, last_event_id, started_at, ended_at, duration_us, events FROM sessions",
+    "p6_found": f"""WITH {_ARTIFACTS} {_CHILDREN}
+      UNION ALL SELECT artifact_id, 'agent_history', -1, pos, e->>'agent_id' FROM agents
+      UNION ALL SELECT artifact_id, 'files_edited', outer_pos, pos, CASE WHEN json_type(x) = 'OBJECT' THEN x->>'path' ELSE x->>'$' END FROM files1 WHERE json_type(x) <> 'NULL'""",
+    "p6_edits": f"""WITH {_ARTIFACTS}, edits AS (SELECT artifact_id, outer_pos, pos AS file_pos, from_json(CASE WHEN json_type(x->'edits') = 'ARRAY' THEN x->'edits' END, '["JSON"]') AS l FROM files1 WHERE json_type(x) = 'OBJECT'),
+      single AS (SELECT artifact_id, outer_pos AS agent_pos, file_pos, CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS pos, unnest(l) AS d FROM edits WHERE l IS NOT NULL)
+      SELECT artifact_id, agent_pos, file_pos, pos, CAST(d->>'line' AS BIGINT) AS line, CAST(d->>'delta' AS BIGINT) AS delta FROM single WHERE json_type(d) <> 'NULL'""",
+    "p6_artifacts": f"WITH {_ARTIFACTS} SELECT artifact_id, schema_version, generated_at, written_at, root, branch, base_ref, prefix.file_count AS prefix_file_count FROM best",
 }
