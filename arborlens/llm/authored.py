@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.functions.paths import base_name, dir_name, plain_path
+from arborlens.scratch import cut
 
 #: The patterns that stand for an attribute file where a repository has none.
 EQUIVALENT = """
@@ -212,6 +213,7 @@ def classify(files: DataFrame, contents: DataFrame) -> DataFrame:
     generated = [r[2] for r in fixed if r[3] == "generated"] + [r"(?:^|/)(?:assets|static|dist)/[^/]*-[0-9a-f]{6,}\.(?:js|ts|css)$"]
     vendored = [r[2] for r in fixed if r[3] == "vendored"]
     marked = known.withColumn("stem", stem(F.col("path"))).withColumn("by_path_g", F.coalesce(_any(F.col("path"), generated), F.lit(False))).withColumn("by_path_v", F.coalesce(_any(F.col("path"), vendored), F.lit(False)))
+    marked = cut(marked, "marked")  # texts are read and judged once; from here on rows are short
     # names of packages: nearly all files of that name, in several repositories, carry an upstream notice
     names = marked.filter(~F.col("by_path_v")).groupBy("stem").agg(F.count_distinct(F.when(F.col("by_others"), F.col("root"))).alias("roots"), F.avg(F.col("by_others").cast("double")).alias("share"))
     packages = names.filter((F.col("roots") >= MINED_ROOTS) & (F.col("share") >= MINED_SHARE)).select("stem", F.lit(True).alias("package"))
