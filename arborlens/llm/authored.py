@@ -177,7 +177,7 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(base_name(path), r"(?:\.[A-Za-z]+)+$", ""), r"[-_.]v?\d+(?:\.\d+)+$", "")
 
 
-def by_text(content: Column, size: Column) -> dict[str, Column]:
+def by_text(content: Column) -> dict[str, Column]:
     """What a file's text says: by_program, by_others, dense (minified, or data in long lines), data."""
     top = F.substring_index(content, "\n", 5)
     lines = F.filter(F.split(content, "\n"), lambda x: F.trim(x) != "")
@@ -196,13 +196,15 @@ def classify(files: DataFrame, contents: DataFrame) -> DataFrame:
     Reasons: declared, generated, vendored, minified-or-data. An attribute file that unsets an attribute on
     a path overrides patterns and text for it. ``files`` needs file_id, root, path, size, ``contents``
     file_id and content; other columns do not matter. A file scanned twice counts once, with its first
-    path in order; null paths match no pattern, null and empty texts say nothing.
+    path in order; null paths match no pattern, null and empty texts say nothing; of several texts
+    of a file it is enough that one says so.
     """
     one = files.filter(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min_by(F.struct("root", "path", "size"), F.struct("path", "root", "size")).alias("f"))
     plain = one.select("file_id", "f.root", plain_path(F.col("f.path"), F.col("f.root")).alias("path"), "f.size")
-    text = contents.filter(F.col("content").isNotNull()).groupBy("file_id").agg(F.max("content").alias("content"))
-    known = plain.join(text, "file_id", "left")
-    known = known.select("*", *[c.alias(n) for n, c in by_text(F.col("content"), F.col("size")).items()]).drop("content")
+    # texts are judged where they are read; only what they say is shuffled
+    says = by_text(F.col("content"))
+    text = contents.select("file_id", *[c.alias(n) for n, c in says.items()]).groupBy("file_id").agg(*[F.bool_or(n).alias(n) for n in says])
+    known = plain.join(text, "file_id", "left").select(*plain.columns, *[F.coalesce(n, F.lit(False)).alias(n) for n in says])
 
     rules = attribute_rules(plain, contents)
     said = declared(plain, rules)
@@ -213,7 +215,7 @@ def classify(files: DataFrame, contents: DataFrame) -> DataFrame:
     generated = [r[2] for r in fixed if r[3] == "generated"] + [r"(?:^|/)(?:assets|static|dist)/[^/]*-[0-9a-f]{6,}\.(?:js|ts|css)$"]
     vendored = [r[2] for r in fixed if r[3] == "vendored"]
     marked = known.withColumn("stem", stem(F.col("path"))).withColumn("by_path_g", F.coalesce(_any(F.col("path"), generated), F.lit(False))).withColumn("by_path_v", F.coalesce(_any(F.col("path"), vendored), F.lit(False)))
-    marked = cut(marked, "marked")  # texts are read and judged once; from here on rows are short
+    marked = cut(marked, "marked")  # so that texts are read and judged once
     # names of packages: nearly all files of that name, in several repositories, carry an upstream notice
     names = marked.filter(~F.col("by_path_v")).groupBy("stem").agg(F.count_distinct(F.when(F.col("by_others"), F.col("root"))).alias("roots"), F.avg(F.col("by_others").cast("double")).alias("share"))
     packages = names.filter((F.col("roots") >= MINED_ROOTS) & (F.col("share") >= MINED_SHARE)).select("stem", F.lit(True).alias("package"))
