@@ -84,7 +84,9 @@ def plain_text(text: Column) -> Column:
 def mentions(text: Column, most: int | None = None) -> Column:
     """File names in a text: longer extensions first, then by place, each once."""
     exts = sorted({e[1:] for e in EXTENSIONS}, key=lambda e: (-len(e), e))
-    found = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(rf"([a-zA-Z0-9_/.@-]+\.{e}\b)"), 1) for e in exts])))
+    # a name lies within a run of its letters: only runs with a dot are looked through for each extension
+    runs = F.array_join(F.regexp_extract_all(text, F.lit(r"([a-zA-Z0-9_/.@-]+\.[a-zA-Z][a-zA-Z0-9_/.@-]*)"), 1), " ")
+    found = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(runs, F.lit(rf"([a-zA-Z0-9_/.@-]+\.{e}\b)"), 1) for e in exts])))
     return found if most is None else F.slice(found, 1, most)
 
 
