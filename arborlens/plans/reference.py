@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlens.functions import text as T
+from arborlens.functions.extract import analyses
 from arborlens.functions.paths import dir_name
 from arborlens.operators import activity as A
-from arborlens.operators import coverage, graph, handoff, inventory, rank
+from arborlens.operators import coverage, graph, handoff, inventory, rank, resolve
+from arborlens.operators.ranged import with_previous
 from arborlens.plans import views as V
 from arborlens.plans.views import NOW
 from arborlens.tables import table
@@ -540,3 +542,51 @@ def handoff_guidance(s, d):
     facts = a.groupBy("artifact_id").agg(F.max(size("delta.changed")).alias("changed"), F.max(size("delta.risk_files")).alias("risk"), F.max(size("delta.recent_events")).alias("events"), F.bool_or(F.col("delta").isNotNull()).alias("has_state"), F.bool_or(F.col("prefix").isNotNull()).alias("has_graph"))
     g = handoff.guidance(facts)
     return g.select("artifact_id", F.array_join("next_steps", "; ").alias("next_steps"), F.array_join("open_questions", "; ").alias("open_questions"))
+
+
+# extraction and resolution
+
+
+def _code(s, d):
+    return V.files(s, d).select("file_id", "root", "path").join(V.contents(s, d), "file_id")
+
+
+@query
+def extract_code(s, d):
+    one = analyses(_code(s, d))
+    return one.select("file_id", "language", F.array_join("imports", ",").alias("imports"), F.array_join("functions", ",").alias("functions"))
+
+
+@query
+def function_counts(s, d):
+    return analyses(_code(s, d)).groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("functions")).alias("functions"))
+
+
+def _specs(s, d):
+    """Each file imports the one before it of its root and extension, named in five ways by its id."""
+    f = V.files(s, d).filter(F.col("ext") != "").select("root", "ext", "file_id", "path")
+    p = with_previous(f, ["root", "ext"], ["file_id"], ["path"]).filter("has_prev")
+    bare = F.regexp_replace("prev_path", r"\.[^./]*$", "")
+    k = F.col("file_id") % 5
+    spec = F.when(k == 0, F.replace(bare, F.lit("/"), F.lit("."))).when(k == 1, bare).when(k == 2, F.regexp_replace(bare, "^[^/]*/", "")).when(k == 3, F.concat(F.lit("../../../../../"), bare)).otherwise(dir_name(F.col("prev_path")))
+    return p.select("root", "path", spec.alias("spec"))
+
+
+def _resolved(s, d):
+    return resolve.resolve(resolve.attempts(_specs(s, d)), resolve.index(V.files(s, d)))
+
+
+@query
+def resolve_ladder(s, d):
+    return _resolved(s, d)
+
+
+@query
+def resolve_degree(s, d):
+    e = resolve.edges(_resolved(s, d)).select(F.concat_ws("/", "root", "src").alias("src"), F.concat_ws("/", "root", "dst").alias("dst"))
+    return graph.degrees(e)
+
+
+@query
+def file_index_keys(s, d):
+    return resolve.index(V.files(s, d)).groupBy("kind", "family").agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("key").alias("distinct_keys"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from arborlens.functions.dims import CODE_EXTENSIONS, CODE_NAMES, EXTENSIONS, IGNORED, SIGNALS, STATUSES
+from arborlens.functions.dims import CODE_EXTENSIONS, CODE_NAMES, EXTENSIONS, FAMILIES, IGNORED, LADDER, SIGNALS, STATUSES
+from arborlens.functions.extract import FUNCTIONS, IMPORTS
 from arborlens.operators.handoff import BINARY
 from arborlens.plans.problems_sql import plain
 from arborlens.plans.views import CHANGED_SINCE, NOW
@@ -95,6 +96,37 @@ sky AS (SELECT ext, files, bytes, CAST(2 + floor(sqrt((bytes - min(bytes) OVER (
 _ROUTES = [("watching", ["event", "watcher", "daemon", "watch/"]), ("graph", ["import", "edge", "graph", "graph/"]), ("handoff", ["handoff", "snapshot", "summary", "handoff/"]), ("config", ["config", "budget", "config"]), ("render", ["tree view", "outline", "layout", "render/"])]
 _SUBSYSTEMS = " UNION ALL ".join(f"SELECT doc_id AS id, '{s}' AS subsystem, CAST({' + '.join(f'CAST(contains(lower(text), {chr(39)}{w}{chr(39)}) AS INT)' for w in ws)} AS INT) AS score FROM documents" for s, ws in _ROUTES)
 
+def _extracted(table: dict[str, str]) -> str:
+    """The distinct finds of a language's expression, in order, joined by commas."""
+    found = " ".join(f"WHEN '{k}' THEN regexp_extract_all(content, '{v.replace(chr(39), chr(39) * 2)}', 1)" for k, v in table.items())
+    return f"CASE language {found} ELSE [] END"
+
+
+_TEXTS = f"""t AS (SELECT f.file_id, {_language("f.path")} AS language, c.content FROM f JOIN (SELECT file_id, max(content) AS content FROM contents WHERE content IS NOT NULL GROUP BY file_id) c USING (file_id)),
+x AS (SELECT file_id, language, list_transform({_extracted(IMPORTS)}, lambda i: trim(i)) AS i, list_transform({_extracted(FUNCTIONS)}, lambda i: trim(i)) AS u FROM t WHERE language IS NOT NULL),
+y AS (SELECT file_id, language, list_filter(i, lambda v, k: list_position(i, v) = k) AS imports, list_filter(u, lambda v, k: list_position(u, v) = k) AS functions FROM x)"""
+
+_FAMILY = _case({x: FAMILIES.get(x, x) for x in EXTENSIONS.values()}, "language")
+
+_RESOLVE = f"""langs AS (SELECT *, {_language("path")} AS language FROM f),
+known AS (SELECT DISTINCT root, path, {_FAMILY} AS family FROM langs WHERE language IS NOT NULL),
+tails AS (SELECT root, path, family, unnest(generate_series(1, len(string_split(path, '/')))) AS i, string_split(path, '/') AS p FROM known),
+idx0 AS (SELECT root, family, path, CASE WHEN i = 1 THEN 'exact' ELSE 'suffix' END AS kind, array_to_string(p[i:], '/') AS key FROM tails),
+idx AS (SELECT * FROM idx0 UNION SELECT root, family, path, kind, regexp_replace(key, '\.[^./]*$', '') FROM idx0 UNION SELECT root, family, path, 'dir', {_dir("path")} FROM known),
+before AS (SELECT root, path, file_id, lag(path) OVER (PARTITION BY root, ext ORDER BY file_id) AS prev FROM f WHERE ext <> ''),
+specs AS (SELECT DISTINCT root, path AS src, CASE file_id % 5 WHEN 0 THEN replace(regexp_replace(prev, '\.[^./]*$', ''), '/', '.') WHEN 1 THEN regexp_replace(prev, '\.[^./]*$', '')
+  WHEN 2 THEN regexp_replace(regexp_replace(prev, '\.[^./]*$', ''), '^[^/]*/', '') WHEN 3 THEN '../../../../../' || regexp_replace(prev, '\.[^./]*$', '') ELSE {_dir("prev")} END AS spec FROM before WHERE prev IS NOT NULL),
+one AS (SELECT s.*, {_language("src")} AS language FROM specs s),
+fam AS (SELECT *, {_FAMILY} AS family, CASE WHEN contains(spec, '.') AND NOT contains(spec, '/') AND NOT starts_with(spec, '.') THEN replace(spec, '.', '/') ELSE spec END AS norm FROM one WHERE language IS NOT NULL),
+tries AS (SELECT root, src, spec, family, 200 AS strategy, 'exact' AS kind, regexp_replace(spec, '^(\.\./)+', '') AS key FROM fam WHERE starts_with(spec, '.')
+  UNION ALL SELECT root, src, spec, family, unnest([500, 600, 700]), unnest(['exact', 'suffix', 'dir']), norm FROM fam WHERE NOT starts_with(spec, '.') AND family NOT IN ('go', 'js')),
+rungs AS (SELECT DISTINCT root, family, kind, key, unnest(generate_series(0, {len(LADDER) - 1})) AS rung, key || unnest([{_list(LADDER)}]) AS full_key FROM tries WHERE kind <> 'dir' AND key <> ''
+  UNION SELECT DISTINCT root, family, kind, key, 0, '__init__.py' FROM tries WHERE kind <> 'dir' AND key = ''
+  UNION SELECT DISTINCT root, family, kind, key, unnest(generate_series(0, len(string_split(key, '/')) - 1)), unnest(list_transform(generate_series(1, len(string_split(key, '/'))), lambda i: array_to_string(string_split(key, '/')[i:], '/'))) FROM tries WHERE kind = 'dir'),
+hits AS (SELECT r.root, r.family, r.kind, r.key, r.rung, idx.path FROM rungs r JOIN idx ON idx.root = r.root AND idx.family = r.family AND idx.kind = r.kind AND idx.key = r.full_key),
+won AS (SELECT * FROM hits QUALIFY rung = min(rung) OVER (PARTITION BY root, family, kind, key)),
+resolved AS (SELECT DISTINCT root, src, spec, strategy, path AS dst FROM (SELECT t.*, w.path, min(strategy) OVER (PARTITION BY t.root, t.src, t.spec) AS best FROM tries t JOIN won w USING (root, family, kind, key)) WHERE strategy = best)"""
+
 SQL = {
     "degree_table": f"WITH {_EDGES}, {_DEGREE} SELECT * FROM degree",
     "hub_files": f"WITH {_EDGES}, {_HUBS} SELECT * FROM hubs",
@@ -221,4 +253,9 @@ SQL = {
       m AS (SELECT *, coalesce({_chained("branch")} = lag({_chained("branch")}) OVER w, false) AS prefix_reused, coalesce(n = lag(n) OVER w, false) AS delta_reused FROM a WINDOW w AS (PARTITION BY root ORDER BY written_at, artifact_id)),
       r AS (SELECT *, CASE WHEN prefix_reused THEN fc ELSE 0 END + CASE WHEN delta_reused THEN n ELSE 0 END AS reused FROM m)
       SELECT root, artifact_id, fc + n AS bytes, CAST(reused AS BIGINT) AS reused_bytes, prefix_reused, delta_reused, CASE WHEN fc + n > 0 THEN reused / (fc + n) ELSE 0.0 END AS ratio FROM r""",
+    "extract_code": f"WITH {_FILES}, {_TEXTS} SELECT file_id, language, array_to_string(imports, ',') AS imports, array_to_string(functions, ',') AS functions FROM y",
+    "function_counts": f"WITH {_FILES}, {_TEXTS} SELECT language, count(*) AS files, CAST(sum(len(functions)) AS BIGINT) AS functions FROM y GROUP BY language",
+    "resolve_ladder": f"WITH {_FILES}, {_RESOLVE} SELECT * FROM resolved",
+    "resolve_degree": f"""WITH {_FILES}, {_RESOLVE}, edges AS (SELECT DISTINCT root || '/' || src AS src, root || '/' || dst AS dst FROM resolved), {_DEGREE} SELECT * FROM degree""",
+    "file_index_keys": f"WITH {_FILES}, {_RESOLVE} SELECT kind, family, count(*) AS keys, count(DISTINCT key) AS distinct_keys FROM idx GROUP BY kind, family",
 }
