@@ -25,14 +25,14 @@ def _no_ext(path: Column) -> Column:
 
 
 def index(files: DataFrame, modules: DataFrame | None = None) -> DataFrame:
-    """(root, kind, key, family, path): exact paths, suffixes, directories, Go packages; ``files``: root, path; ``modules``: root, module."""
+    """(root, kind, key, family, path): exact paths (with and without extension, and whole only), suffixes, directories, Go packages; ``files``: root, path; ``modules``: root, module."""
     known = files.select("root", "path", family(language(F.col("path"))).alias("family")).filter(F.col("family").isNotNull()).distinct()
     parts = F.split("path", "/")
     n = F.size(parts)
     tails = F.when(n > 1, F.transform(F.sequence(F.lit(2), n), lambda i: F.array_join(F.slice(parts, i, n), "/"))).otherwise(F.array().cast("array<string>"))
     keyed = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
     both = lambda keys: F.concat(keys, F.transform(keys, _no_ext))
-    keys = F.concat(keyed("exact", both(F.array("path"))), keyed("suffix", both(tails)), keyed("dir", F.array(dir_name(F.col("path")))))
+    keys = F.concat(keyed("exact", both(F.array("path"))), keyed("whole", F.array("path")), keyed("suffix", both(tails)), keyed("dir", F.array(dir_name(F.col("path")))))
     out = known.select("root", "family", "path", F.explode(F.array_distinct(keys)).alias("k")).select("root", "k.kind", "k.key", "family", "path")
     if modules is not None:
         d = dir_name(F.col("path"))
@@ -64,7 +64,7 @@ def attempts(imports: DataFrame, modules: DataFrame | None = None, aliases: Data
     """(root, src, spec, family, strategy, kind, key) of each import; ``imports``: root, path, spec.
 
     Go: relative, or a package of its own module, else nothing. JavaScript: relative, aliases, then what the
-    workspace resolves (``workspace``: root, src, spec, key), and nothing else. Others: relative, or
+    workspace resolves (``workspace``: root, src, spec, kind, key), and nothing else. Others: relative, or
     exact, suffix, directory. A file of an unknown language has no attempts.
     """
     one = imports.select("root", F.col("path").alias("src"), "spec", language(F.col("path")).alias("language")).filter(F.col("language").isNotNull() & F.col("spec").isNotNull()).distinct().withColumn("family", family(F.col("language")))

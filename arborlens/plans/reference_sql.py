@@ -112,7 +112,7 @@ _RESOLVE = f"""langs AS (SELECT *, {_language("path")} AS language FROM f),
 known AS (SELECT DISTINCT root, path, {_FAMILY} AS family FROM langs WHERE language IS NOT NULL),
 tails AS (SELECT root, path, family, unnest(generate_series(1, len(string_split(path, '/')))) AS i, string_split(path, '/') AS p FROM known),
 idx0 AS (SELECT root, family, path, CASE WHEN i = 1 THEN 'exact' ELSE 'suffix' END AS kind, array_to_string(p[i:], '/') AS key FROM tails),
-idx AS (SELECT * FROM idx0 UNION SELECT root, family, path, kind, regexp_replace(key, '\.[^./]*$', '') FROM idx0 UNION SELECT root, family, path, 'dir', {_dir("path")} FROM known),
+idx AS (SELECT * FROM idx0 UNION SELECT root, family, path, kind, regexp_replace(key, '\.[^./]*$', '') FROM idx0 UNION SELECT root, family, path, 'dir', {_dir("path")} FROM known UNION SELECT root, family, path, 'whole', path FROM known),
 before AS (SELECT root, path, file_id, lag(path) OVER (PARTITION BY root, ext ORDER BY file_id) AS prev FROM f WHERE ext <> ''),
 specs AS (SELECT DISTINCT root, path AS src, CASE file_id % 5 WHEN 0 THEN replace(regexp_replace(prev, '\.[^./]*$', ''), '/', '.') WHEN 1 THEN regexp_replace(prev, '\.[^./]*$', '')
   WHEN 2 THEN regexp_replace(regexp_replace(prev, '\.[^./]*$', ''), '^[^/]*/', '') WHEN 3 THEN '../../../../../' || regexp_replace(prev, '\.[^./]*$', '') ELSE {_dir("prev")} END AS spec FROM before WHERE prev IS NOT NULL),
