@@ -1,7 +1,8 @@
 """Edit events: activity, working set, debouncing, deltas, related hot files, bounded histories.
 
-Keys of the windows here are (root, path), whose events are bounded by what one file sees; a root's whole
-history is never ordered in one task, except by :func:`arborlens.operators.ranged.in_ranges`.
+Whatever needs the event before another is read in ranges of (key, time), so that neither a root nor a single
+file with very many events becomes one task's work. Windows rank the newest rows of a key only, of
+which Spark keeps no more than asked for in each task before it shuffles, or one minute of a key.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from arborlens.functions.dims import HUB
 from arborlens.operators.ranged import with_previous
+from arborlens.operators.sessions import sessionize
+from arborlens.scratch import cut
 
 TOUCHES = ("CREATE", "WRITE")
 GONE = ("REMOVE", "RENAME")
@@ -73,19 +76,19 @@ def debounced(events: DataFrame, window_us: int, key: list[str] = ("root", "path
     outside. Other operations are never put off and end a burst. The first write of a burst is
     processed at once (leading edge), its last one when the burst is over (trailing edge).
     """
-    w = Window.partitionBy(*key).orderBy("ts", "event_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    write = F.col("op") == "WRITE"
-    skipped = write & F.coalesce(F.lag("op").over(w) == "WRITE", F.lit(False)) & (us - F.lag(us).over(w) < window_us)
-    goes_on = F.coalesce(F.lead("op").over(w) == "WRITE", F.lit(False)) & (F.lead(us).over(w) - us < window_us)
-    return events.select(*key, "event_id", "ts", F.coalesce(skipped, F.lit(False)).alias("skipped"), (F.coalesce(skipped, F.lit(False)) & ~F.coalesce(goes_on, F.lit(False))).alias("last_of_burst"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = with_previous(events.select(*key, "event_id", "ts", "op"), list(key), ["ts", "event_id"], ["op", "ts", "event_id"])
+    skipped = F.col("has_prev") & (F.col("op") == "WRITE") & (F.col("prev_op") == "WRITE") & (us("ts") - us("prev_ts") < window_us)
+    rows = cut(rows.select(*key, "event_id", "ts", F.coalesce(skipped, F.lit(False)).alias("skipped"), "prev_event_id"), "debounced")
+    # a burst goes on at an event whose successor is skipped
+    goes_on = rows.filter("skipped").select(F.col("prev_event_id").alias("event_id"), F.lit(True).alias("goes_on"))
+    return rows.join(goes_on, "event_id", "left").select(*key, "event_id", "ts", "skipped", (F.col("skipped") & F.col("goes_on").isNull()).alias("last_of_burst"))
 
 
 def unchanged(events: DataFrame, key: list[str] = ("root", "path")) -> DataFrame:
     """(key, event_id) of writes with the size and number of lines of the event before them."""
-    w = Window.partitionBy(*key).orderBy("ts", "event_id")
-    same = (F.col("op") == "WRITE") & (F.col("size") == F.lag("size").over(w)) & (F.col("lines") == F.lag("lines").over(w))
-    return events.select(*key, "event_id", F.coalesce(same, F.lit(False)).alias("same")).filter("same").select(*key, "event_id")
+    rows = with_previous(events.select(*key, "event_id", "ts", "op", "size", "lines"), list(key), ["ts", "event_id"], ["size", "lines"])
+    return rows.filter(F.col("has_prev") & (F.col("op") == "WRITE") & (F.col("size") == F.col("prev_size")) & (F.col("lines") == F.col("prev_lines"))).select(*key, "event_id")
 
 
 def deltas(events: DataFrame, key: list[str] = ("root", "path")) -> DataFrame:
@@ -94,15 +97,14 @@ def deltas(events: DataFrame, key: list[str] = ("root", "path")) -> DataFrame:
     A file not known before, or removed or renamed since, counts from 0. Removal takes away what was
     known, nothing if nothing was. Events whose lines and size are not known change nothing and leave the state.
     """
-    w = Window.partitionBy(*key).orderBy("ts", "event_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.col("op").isin(*GONE)
-    state = F.when(gone, F.struct(F.lit(0).cast("bigint").alias("l"), F.lit(0).cast("bigint").alias("s"))).when(F.col("lines").isNotNull() | F.col("size").isNotNull(), F.struct(F.coalesce("lines", F.lit(0)).cast("bigint").alias("l"), F.coalesce("size", F.lit(0)).cast("bigint").alias("s")))
-    rows = events.select(*key, "event_id", "ts", "op", state.alias("st"))
-    was = F.last("st", ignorenulls=True).over(before)
-    rows = rows.withColumn("was", was)
-    d = lambda f: F.when(F.col("st").isNull(), 0).otherwise(F.col("st")[f] - F.coalesce(F.col("was")[f], F.lit(0)))
-    return rows.select(*key, "event_id", d("l").alias("line_delta"), d("s").alias("size_delta"))
+    gone, known = F.col("op").isin(*GONE), F.col("lines").isNotNull() | F.col("size").isNotNull()
+    n = lambda c: F.when(gone, 0).otherwise(F.coalesce(c, F.lit(0))).cast("bigint")
+    told = events.filter(gone | known).select(*key, "event_id", "ts", n("lines").alias("l"), n("size").alias("s"))
+    rows = with_previous(told, list(key), ["ts", "event_id"], ["l", "s"])
+    d = lambda c: F.col(c) - F.coalesce(F.col(f"prev_{c}"), F.lit(0))
+    zero = F.lit(0).cast("bigint")
+    silent = events.filter(~gone & ~known).select(*key, "event_id", zero.alias("line_delta"), zero.alias("size_delta"))
+    return rows.select(*key, "event_id", d("l").alias("line_delta"), d("s").alias("size_delta")).unionByName(silent)
 
 
 def related_hot(events: DataFrame, connected: DataFrame, window_us: int) -> DataFrame:
@@ -127,10 +129,10 @@ def enriched(events: DataFrame, degree: DataFrame) -> DataFrame:
     return one.select("event_id", n.alias("importers"), F.coalesce("imports", F.lit(0)).alias("imports"), (n >= HUB).alias("is_hub"))
 
 
-def bursts(events: DataFrame, gap: str = "150 milliseconds", key: list[str] = ("root",)) -> DataFrame:
-    """(key, began, events, removed): events coalesced while they follow within a gap, flags or-ed (trailing edge)."""
-    w = F.session_window("ts", gap)
-    return events.groupBy(*key, w.alias("w")).agg(F.count(F.lit(1)).alias("events"), F.bool_or(F.col("op") == "REMOVE").alias("removed")).select(*key, F.col("w.start").alias("began"), "events", "removed")
+def bursts(events: DataFrame, gap_us: int = 150_000, key: list[str] = ("root",)) -> DataFrame:
+    """(key, began, events, removed): events coalesced while they follow within less than a gap, flags or-ed (trailing edge)."""
+    one = sessionize(events, list(key), "ts", "event_id", gap_us - 1, F.col("op") == "REMOVE")
+    return one.select(*key, F.col("started_at").alias("began"), "events", (F.col("counted") > 0).alias("removed"))
 
 
 def _padded(text: Column, width: int, left: bool) -> Column:
@@ -152,14 +154,14 @@ def last_bytes(events: DataFrame, line: Column, most: int, key: list[str] = ("ro
     """(key, event_id, line): the newest whole lines of each key that fit into ``most`` bytes.
 
     Rows come in order by ranges of (key, time); a running sum over a key's lines is needed only among its
-    newest, so lines are first summed by day and only days within the budget are ordered.
+    newest, so lines are first summed by minute and only minutes within the budget are ordered.
     """
-    rows = events.select(*key, "event_id", "ts", line.alias("line")).withColumn("n", F.octet_length("line") + 1).withColumn("day", F.to_date("ts"))
-    by_day = rows.groupBy(*key, "day").agg(F.sum("n").alias("day_n"))
-    later = Window.partitionBy(*key).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    open_days = by_day.withColumn("before", F.coalesce(F.sum("day_n").over(later), F.lit(0))).filter(F.col("before") <= most).select(*key, "day", "before")
-    w = Window.partitionBy(*key, "day").orderBy(F.desc("ts"), F.desc("event_id"))
-    kept = rows.join(open_days, [*key, "day"]).withColumn("total", F.col("before") + F.sum("n").over(w)).filter(F.col("total") <= most)
+    rows = events.select(*key, "event_id", "ts", line.alias("line")).withColumn("n", F.octet_length("line") + 1).withColumn("slice", F.date_trunc("minute", "ts"))
+    by_slice = rows.groupBy(*key, "slice").agg(F.sum("n").alias("slice_n"))
+    later = Window.partitionBy(*key).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    open_slices = by_slice.withColumn("before", F.coalesce(F.sum("slice_n").over(later), F.lit(0))).filter(F.col("before") <= most).select(*key, "slice", "before")
+    w = Window.partitionBy(*key, "slice").orderBy(F.desc("ts"), F.desc("event_id"))
+    kept = rows.join(open_slices, [*key, "slice"]).withColumn("total", F.col("before") + F.sum("n").over(w)).filter(F.col("total") <= most)
     return kept.select(*key, "event_id", "line")
 
 

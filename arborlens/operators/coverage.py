@@ -41,5 +41,5 @@ def folded(statuses: Column) -> Column:
 
 def notes(sources: DataFrame, key: list[str]) -> DataFrame:
     """(key, notes): details in order of record, each once."""
-    rows = sources.filter(F.coalesce("detail", F.lit("")) != "")
-    return rows.groupBy(*key).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "detail"))), lambda x: x["detail"])).alias("notes"))
+    rows = sources.filter(F.coalesce("detail", F.lit("")) != "").groupBy(*key, "detail").agg(F.min("seq").alias("seq"))
+    return rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "detail"))), lambda x: x["detail"]).alias("notes"))

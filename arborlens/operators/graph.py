@@ -40,9 +40,9 @@ def hubs(edges: DataFrame, kind: str = "graph", least: int = HUB) -> DataFrame:
 def top_importers(edges: DataFrame, hub_rows: DataFrame, most: int = 3) -> DataFrame:
     """(path, importers, src, nth): each hub's first importers by name."""
     rows = edges.withColumnRenamed("dst", "path").join(hub_rows, "path")
-    # the first few by name with partial aggregation: a hub's importers never meet in one sort
-    firsts = rows.groupBy("path", "importers").agg(F.slice(F.array_sort(F.collect_set("src")), 1, most).alias("s"))
-    return firsts.select("path", "importers", F.posexplode("s").alias("nth", "src")).withColumn("nth", F.col("nth") + 1)
+    # of each hub a task keeps its first few importers before they are shuffled
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("src"))
+    return rows.withColumn("nth", nth).filter(F.col("nth") <= most).select("path", "importers", "src", "nth")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlens.operators.ranged import with_previous
+
 #: Endings of binary files and directories of tools, which no hand-off lists.
 BINARY = (
     "exe dll bin o a so dylib wasm class jar zip tar gz 7z png jpg jpeg gif webp ico bmp tiff mp3 wav ogg mp4 mov avi log out pdf ttf otf woff woff2"
@@ -34,11 +36,10 @@ def chained(*parts: Column) -> Column:
 def metrics(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """(key, order, bytes, reused_bytes, prefix_reused, delta_reused, ratio): what a snapshot shares with the one before.
 
-    ``rows``: key, order, prefix_hash, delta_hash, prefix_bytes, delta_bytes. Snapshots of one key are few.
+    ``rows``: key, order, prefix_hash, delta_hash, prefix_bytes, delta_bytes.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    same = lambda c: F.coalesce(F.col(c) == F.lag(c).over(w), F.lit(False))
-    one = rows.withColumn("prefix_reused", same("prefix_hash")).withColumn("delta_reused", same("delta_hash"))
+    same = lambda c: F.coalesce(F.col("has_prev") & (F.col(c) == F.col(f"prev_{c}")), F.lit(False))
+    one = with_previous(rows, key, order, ["prefix_hash", "delta_hash"]).withColumn("prefix_reused", same("prefix_hash")).withColumn("delta_reused", same("delta_hash"))
     size = F.col("prefix_bytes") + F.col("delta_bytes")
     reused = F.when(F.col("prefix_reused"), F.col("prefix_bytes")).otherwise(0) + F.when(F.col("delta_reused"), F.col("delta_bytes")).otherwise(0)
     return one.select(*key, *order, size.alias("bytes"), reused.alias("reused_bytes"), "prefix_reused", "delta_reused", F.when(size > 0, reused / size).otherwise(0.0).alias("ratio"))

@@ -107,17 +107,23 @@ def drift(commits: DataFrame, pairs: DataFrame, window: int = 10) -> DataFrame:
 
 
 def next_steps(intent: DataFrame, mentioned: DataFrame, importers: DataFrame, most: int = 2) -> DataFrame:
-    """(id, nth, step): what to look at next, by category and by the named file with the most importers."""
-    top = mentioned.filter(F.col("path").isNotNull()).join(importers, "path", "left").groupBy("id").agg(F.max_by(F.struct("path", F.coalesce("importers", F.lit(0)).alias("n")), F.struct(F.coalesce("importers", F.lit(0)).alias("n"), -F.col("pos"))).alias("t"))
+    """(id, nth, step): views to open next, for sure categories only.
+
+    First the importers of the named file with the most of them (the first named among equals), and the
+    dependencies if it is a hub; then by category: the change for version control; the tree or the
+    dependencies for exploring; the dependencies for refactoring; the tree and the dependencies for a feature;
+    the change, or around a hub the dependencies, for a bug. ``mentioned``: id, pos, path (null: none).
+    """
+    n = F.coalesce("importers", F.lit(0))
+    top = mentioned.filter(F.col("path").isNotNull()).join(importers, "path", "left").groupBy("id").agg(F.max_by(F.struct("path", n.alias("n")), F.struct(n.alias("n"), -F.col("pos"))).alias("t"))
     one = intent.filter("sure").select("id", "category").join(top, "id", "left")
-    file = F.col("t.path")
+    file, c = F.col("t.path"), F.col("category")
+    some, hub = file.isNotNull(), F.coalesce(F.col("t.n") >= HUB, F.lit(False))
+    deps, diff, tree = F.lit("dependencies"), F.lit("change"), F.lit("structure")
     steps = F.array(
-        F.when(file.isNotNull() & (F.col("t.n") >= HUB), F.concat(F.lit("importers "), file)),
-        F.when(file.isNotNull() & F.col("category").isin("refactor", "bugfix"), F.concat(F.lit("context "), file)),
-        F.when(F.col("category") == "vcs", F.lit("diff")),
-        F.when(F.col("category") == "explore", F.when(file.isNotNull(), F.concat(F.lit("context "), file)).otherwise(F.lit("structure"))),
-        F.when(F.col("category").isin("feature", "refactor") & file.isNull(), F.lit("hubs")),
-    )
+        F.when(some, F.concat(F.lit("importers of "), file)), F.when(hub, deps), F.when(c == "vcs", diff), F.when(c == "explore", F.when(some, deps).otherwise(tree)), F.when(c == "refactor", deps),
+        F.when((c == "feature") & ~some, tree), F.when(c == "feature", deps), F.when(c == "bugfix", F.when(~some, diff).when(hub, deps)),
+    )
     kept = F.slice(F.array_distinct(F.filter(steps, lambda s: s.isNotNull())), 1, most)
     return one.select("id", F.posexplode(kept).alias("pos", "step")).select("id", (F.col("pos") + 1).alias("nth"), "step")
 

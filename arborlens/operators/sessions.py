@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlens.operators.ranged import FIRST, LAST, PART, differs, in_ranges, scan, shifted
@@ -83,8 +83,10 @@ class Timer:
         return done
 
 
-def sessionize(events: DataFrame, key: Sequence[str], time: str, event_id: str, gap_us: int) -> DataFrame:
-    """(key, first_event_id, last_event_id, started_at, ended_at, duration_us, events) of each session.
+def sessionize(events: DataFrame, key: Sequence[str], time: str, event_id: str, gap_us: int, count: Column | None = None) -> DataFrame:
+    """(key, first_event_id, last_event_id, started_at, ended_at, duration_us, events, counted) of each session.
+
+    ``counted`` are the events of which the condition ``count`` holds; without one the column is left out.
 
     Events of a key are ordered by ``time``, then ``event_id``; a session ends where the next event comes
     more than ``gap_us`` microseconds later. Rows equal in key, time and id are one event. Rows with a
@@ -92,14 +94,16 @@ def sessionize(events: DataFrame, key: Sequence[str], time: str, event_id: str,
     must be integers.
     """
     cols = [*key, time, event_id]
-    src = events.filter(F.col(time).isNotNull() & F.col(event_id).isNotNull()).select(*cols)
-    ordered = in_ranges(src, cols).select(*key, F.unix_micros(F.col(time).cast("timestamp")).alias(time), F.col(event_id).cast("bigint").alias(event_id))
+    flag = F.coalesce(count, F.lit(False)).cast("bigint") if count is not None else F.lit(0).cast("bigint")
+    src = events.filter(F.col(time).isNotNull() & F.col(event_id).isNotNull()).select(*cols, flag.alias("__count"))
+    ordered = in_ranges(src, cols, ["__count"]).select(*key, F.unix_micros(F.col(time).cast("timestamp")).alias(time), F.col(event_id).cast("bigint").alias(event_id), "__count")
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + f", first_id bigint, last_id bigint, start_us bigint, end_us bigint, n bigint, {PART} int, {FIRST} boolean, {LAST} boolean"
-    names = [*key, "first_id", "last_id", "start_us", "end_us", "n", PART, FIRST, LAST]
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + f", first_id bigint, last_id bigint, start_us bigint, end_us bigint, n bigint, counted bigint, {PART} int, {FIRST} boolean, {LAST} boolean"
+    names = [*key, "first_id", "last_id", "start_us", "end_us", "n", "counted", PART, FIRST, LAST]
 
     def work(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         timer, before, opened, emitted = Timer(gap_us), None, None, 0
+        held_n, held = 0, 0  # events of the open session from earlier batches, and those counted
 
         def rows(sessions: tuple[np.ndarray, ...], keys: list[pa.Array], is_last: bool = False) -> pa.RecordBatch:
             nonlocal emitted
@@ -120,11 +124,17 @@ def sessionize(events: DataFrame, key: Sequence[str], time: str, event_id: str,
             before = b.slice(b.num_rows - 1)
             keep = pc.invert(pc.fill_null(again, False))
             new_key, b = other.filter(keep).to_numpy(zero_copy_only=False), b.filter(keep)
+            # sessions follow each other without gaps, so their lengths tell which events are theirs
+            sums, at = np.concatenate([[0], np.cumsum(b.column("__count").to_numpy())]), 0
             for place, *session in timer.update(b.column(event_id).to_numpy(), b.column(time).to_numpy(), new_key):
-                yield rows(session, opened if place[0] < 0 else [b.column(k).take(pa.array(place)) for k in key])
+                ends = at + np.cumsum(session[-1]) - (held_n if place[0] < 0 else 0)
+                counted = np.diff(sums[np.append(at, ends)]) + (held if place[0] < 0 else 0)
+                at, held_n, held = int(ends[-1]), 0, 0
+                yield rows([*session, counted], opened if place[0] < 0 else [b.column(k).take(pa.array(place)) for k in key])
+            held_n, held = held_n + b.num_rows - at, held + int(sums[-1] - sums[at])
             opened = [before.column(k) for k in key]
         if (s := timer.close()) is not None:
-            yield rows(tuple(np.array([x], np.int64) for x in (s.first_id, s.last_id, s.start, s.last, s.n)), opened, True)
+            yield rows(tuple(np.array([x], np.int64) for x in (s.first_id, s.last_id, s.start, s.last, s.n, held)), opened, True)
 
     parts = cut(scan(ordered, work, schema), "sessions")
     edge = parts.filter(F.col(FIRST) | F.col(LAST))
@@ -136,10 +146,10 @@ def sessionize(events: DataFrame, key: Sequence[str], time: str, event_id: str,
     told = edge.withColumn("fresh", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("s", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.struct("start_us", "first_id")
     till = F.struct("end_us", "last_id")
-    stitched = told.groupBy("s").agg(*[F.first(k).alias(k) for k in key], F.min_by("first_id", at).alias("first_id"), F.max_by("last_id", till).alias("last_id"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"))
-    fields = [*key, "first_id", "last_id", "start_us", "end_us", "n"]
+    stitched = told.groupBy("s").agg(*[F.first(k).alias(k) for k in key], F.min_by("first_id", at).alias("first_id"), F.max_by("last_id", till).alias("last_id"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"), F.sum("counted").alias("counted"))
+    fields = [*key, "first_id", "last_id", "start_us", "end_us", "n", "counted"]
     whole = parts.filter(~(F.col(FIRST) | F.col(LAST))).select(*fields).unionByName(stitched.select(*fields))
     return whole.select(
         *key, F.col("first_id").alias("first_event_id"), F.col("last_id").alias("last_event_id"), F.timestamp_micros("start_us").alias("started_at"), F.timestamp_micros("end_us").alias("ended_at"),
-        (F.col("end_us") - F.col("start_us")).alias("duration_us"), F.col("n").alias("events"),
+        (F.col("end_us") - F.col("start_us")).alias("duration_us"), F.col("n").alias("events"), *(["counted"] if count is not None else []),
     )

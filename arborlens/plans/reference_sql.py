@@ -108,7 +108,7 @@ y AS (SELECT file_id, language, list_filter(i, lambda v, k: list_position(i, v)
 
 _FAMILY = _case({x: FAMILIES.get(x, x) for x in EXTENSIONS.values()}, "language")
 
-_RESOLVE = f"""langs AS (SELECT *, {_language("path")} AS language FROM f),
+_RESOLVE = rf"""langs AS (SELECT *, {_language("path")} AS language FROM f),
 known AS (SELECT DISTINCT root, path, {_FAMILY} AS family FROM langs WHERE language IS NOT NULL),
 tails AS (SELECT root, path, family, unnest(generate_series(1, len(string_split(path, '/')))) AS i, string_split(path, '/') AS p FROM known),
 idx0 AS (SELECT root, family, path, CASE WHEN i = 1 THEN 'exact' ELSE 'suffix' END AS kind, array_to_string(p[i:], '/') AS key FROM tails),
@@ -258,4 +258,35 @@ SQL = {
     "resolve_ladder": f"WITH {_FILES}, {_RESOLVE} SELECT * FROM resolved",
     "resolve_degree": f"""WITH {_FILES}, {_RESOLVE}, edges AS (SELECT DISTINCT root || '/' || src AS src, root || '/' || dst AS dst FROM resolved), {_DEGREE} SELECT * FROM degree""",
     "file_index_keys": f"WITH {_FILES}, {_RESOLVE} SELECT kind, family, count(*) AS keys, count(DISTINCT key) AS distinct_keys FROM idx GROUP BY kind, family",
+    "task_next_steps": f"""WITH {_MENTIONS}, {_NAMED}, {_EVENTS}, {_COUNTS}, {_INTENT},
+      top AS (SELECT id, arg_max(path, (coalesce(importers, 0), -pos)) AS path, max(coalesce(importers, 0)) AS n FROM named LEFT JOIN counts USING (path) WHERE path IS NOT NULL GROUP BY id),
+      o AS (SELECT i.id, category, path, coalesce(n >= 3, false) AS hub FROM intent i LEFT JOIN top USING (id) WHERE sure),
+      s AS (SELECT id, list_filter([CASE WHEN path IS NOT NULL THEN 'importers of ' || path END, CASE WHEN hub THEN 'dependencies' END, CASE WHEN category = 'vcs' THEN 'change' END,
+        CASE WHEN category = 'explore' THEN CASE WHEN path IS NULL THEN 'structure' ELSE 'dependencies' END END, CASE WHEN category = 'refactor' THEN 'dependencies' END,
+        CASE WHEN category = 'feature' AND path IS NULL THEN 'structure' END, CASE WHEN category = 'feature' THEN 'dependencies' END,
+        CASE WHEN category = 'bugfix' THEN CASE WHEN path IS NULL THEN 'change' WHEN hub THEN 'dependencies' END END], lambda x: x IS NOT NULL) AS l FROM o),
+      u AS (SELECT id, list_filter(l, lambda x, k: list_position(l, x) = k)[:2] AS l FROM s)
+      SELECT id, CAST(unnest(generate_series(1, len(l))) AS INT) AS nth, unnest(l) AS step FROM u""",
+    "coverage_fold": """WITH r AS (SELECT DISTINCT root, report_id, CASE coverage_status WHEN 'complete' THEN 'authoritative' WHEN 'partial' THEN 'mixed' ELSE 'timeout' END AS status FROM importers_report WHERE coverage_status IS NOT NULL),
+      n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY report_id, status) AS nth FROM r QUALIFY nth <= 5), l AS (SELECT root, list(status ORDER BY nth) AS l FROM n GROUP BY root)
+      SELECT root, split_part(list_reduce(list_prepend('|', list_transform(l, lambda x: x)), lambda s, x: CASE
+        WHEN x = 'authoritative' THEN CASE WHEN split_part(s, '|', 1) = 'unavailable' THEN 'partial' ELSE split_part(s, '|', 1) END || '|u' WHEN x = 'mixed' THEN 'partial|u'
+        WHEN split_part(s, '|', 2) = 'u' THEN 'partial|u' ELSE 'unavailable|' END), '|', 1) AS status FROM l""",
+    "handoff_guidance": """WITH a AS (SELECT artifact_id, max(coalesce(len(delta.changed), 0)) AS c, max(coalesce(len(delta.risk_files), 0)) AS r, max(coalesce(len(delta.recent_events), 0)) AS e, bool_or(delta IS NOT NULL) AS s, bool_or(prefix IS NOT NULL) AS g FROM handoff_artifact GROUP BY artifact_id)
+      SELECT artifact_id, array_to_string(list_filter([CASE WHEN r > 0 THEN 'review dependents of files at risk' END, CASE WHEN c > 0 THEN 'run tests of changed files' END], lambda x: x IS NOT NULL), '; ') AS next_steps,
+        array_to_string(list_filter([CASE WHEN c = 0 THEN 'no changes found: are base and branch right?' END, CASE WHEN NOT s THEN 'no live state: events may be missing' END, CASE WHEN NOT g THEN 'no import graph: files at risk may be missing' END,
+          CASE WHEN e = 0 AND s THEN 'no recent events' END], lambda x: x IS NOT NULL), '; ') AS open_questions FROM a""",
+    "doc_drift": """WITH newest AS (SELECT written_at, delta.changed AS changed FROM handoff_artifact ORDER BY written_at DESC, artifact_id LIMIT 200),
+      touched AS (SELECT DISTINCT written_at, c.path AS path FROM (SELECT written_at, unnest(changed) AS c FROM newest) WHERE c.path IS NOT NULL),
+      pos AS (SELECT written_at, row_number() OVER (ORDER BY written_at DESC) - 1 AS pos FROM (SELECT DISTINCT written_at FROM newest)),
+      dirs AS (SELECT pos, path AS p FROM touched JOIN pos USING (written_at) UNION ALL
+        SELECT pos, unnest(list_transform(generate_series(1, len(string_split(path, '/')) - 1), lambda n: array_to_string(string_split(path, '/')[:n], '/') || '/')) FROM touched JOIN pos USING (written_at)),
+      place AS (SELECT p, min(pos) AS pos FROM dirs WHERE pos < 200 GROUP BY p),
+      pairs AS (SELECT a AS subsystem, a || '/' || b AS doc, CASE WHEN c = '' THEN a || '/' ELSE c END AS code FROM (VALUES ('core'), ('pkg'), ('lib')) x(a), (VALUES ('auth/', 'src/'), ('render/', 'app/'), ('none/', 'cmd/'), ('store/', '')) y(b, c))
+      SELECT subsystem, doc, code, CAST(coalesce(d.pos - c.pos, 200) AS INT) AS behind FROM pairs JOIN place c ON c.p = code LEFT JOIN place d ON d.p = doc WHERE d.pos IS NULL OR c.pos < d.pos""",
+    "snippet_terms": f"""WITH {_FILES}, c AS (SELECT file_id, string_split(max(content), E'\\n') AS l FROM contents WHERE content IS NOT NULL GROUP BY file_id),
+      k AS (SELECT file_id, unnest(generate_series(1, len(l))) AS line_no, unnest(l) AS line FROM c), s AS (SELECT file_id, regexp_replace({_base("path")}, '\\.[^.]*$', '') AS stem FROM f),
+      t AS (SELECT file_id, 0 AS r, stem AS term FROM s WHERE stem <> '' UNION ALL SELECT file_id, 1, regexp_extract(stem, '^[A-Za-z]+') FROM s WHERE regexp_extract(stem, '^[A-Za-z]+') <> ''),
+      h AS (SELECT file_id, r, line_no, line FROM t JOIN k USING (file_id) WHERE CASE WHEN r = 0 THEN regexp_matches(line, '\\b' || regexp_replace(term, '([^A-Za-z0-9_])', '\\\\\\1', 'g') || '\\b') ELSE contains(line, term) END)
+      SELECT file_id AS seq, file_id AS path, file_id AS via, CAST(arg_min(line_no, (r, line_no)) AS INT) AS line_no, arg_min(line, (r, line_no)) AS line FROM h GROUP BY file_id ORDER BY file_id LIMIT 200""",
 }

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from arborlens.operators import runs as R
 from arborlens.operators.ranged import with_previous
@@ -134,3 +135,20 @@ def test_previous_rows_over_edges(spark):
         for a, b in zip([None, *es], es):
             want[b[0]] = (a is not None, a and a[0])
     assert got == want
+
+
+def test_sessions_count_events_of_a_kind(spark):
+    rows = events(11, 400)
+    df = sessionize(spark.createDataFrame(rows, SCHEMA), ["root"], "ts", "event_id", 60 * 1_000_000, F.col("op") == "CREATE")
+    ops = {e[0]: e[3] for e in rows}
+    want = {}
+    for root, es in ordered(rows).items():
+        s = [es[0]]
+        for a, b in zip([*es, None], [*es[1:], None]):
+            if b is None or b[2] - a[2] > timedelta(seconds=60):
+                want[root, s[0][0]] = sum(ops[e[0]] == "CREATE" for e in s)
+                s = []
+            s.append(b)
+            if b is None:
+                break
+    assert {(x["root"], x["first_event_id"]): x["counted"] for x in df.collect()} == want
