@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.text import mended
+from arborlens.llm.text import mended, portions
 
 #: Longest context in bytes.
 ORDER = 5
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
-        for b in batches:
+        for b in chain.from_iterable(portions(b, 1) for b in batches):
             labels = [label_code(x) for x in b.column(2).to_pylist()]
             paras: dict[int, list[tuple[int, str, float, int]]] = {}
             for i, k, lang, sure, n in score(model, b.column(1).to_pylist()):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.text import words
+from arborlens.llm.text import portions, words
 
 #: Words in a shingle; shortest passage in words; one word in so many may be changed, dropped or added.
 SHINGLE, PASSAGE, ONE_IN = 5, 30, 10
@@ -273,7 +273,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
     A passage is a stretch of :data:`PASSAGE` words of the item or more, with at most one word in
     :data:`ONE_IN` changed, dropped or added; only words count. Null and empty texts and items shorter than
-    a passage have no rows; repeated rows of a document or item give one row. Texts are read whole.
+    a passage have no rows; repeated rows of a document or item give one row, of items with one id the first text counts. Texts are read whole.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
@@ -292,8 +292,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
                 _indexes[name] = (Index(held.value, memo), memo)
             index, memo = _indexes[name]
             for b in batches:
-                for at in range(0, b.num_rows, 2000):
-                    part = b.slice(at, 2000)
+                for part in portions(b, 1):
                     found = sorted(search(index, part.column(1).to_pylist(), memo))
                     ids = pa.array([index.ids[i] for _, i in found])
                     yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()) if not len(ids) else ids, part.column(0).take(pa.array([t for t, _ in found], pa.int64()))], names=[item_id, doc_id])
@@ -301,7 +300,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         return source.mapInArrow(work, out_schema)
 
     group: list = []
-    rows = items.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, item_text).dropDuplicates([item_id]).orderBy(item_id)
+    rows = items.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, item_text).groupBy(item_id).agg(F.min(item_text).alias(item_text)).orderBy(item_id)
     for r in rows.toLocalIterator():
         group.append((r[0], r[1]))
         if len(group) == GROUP:

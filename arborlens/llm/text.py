@@ -5,6 +5,13 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute
+
+#: Bytes of text that are worked on at once; a longer text is a portion of its own.
+PORTION = 4 << 20
 
 #: UTF-8 bytes that were read as Latin-1 or Windows-1252: a lead byte and its followers.
 _BROKEN = re.compile("[\u00c2-\u00df](?:[\u0080-\u00bf]|[\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122])")
@@ -46,3 +53,15 @@ def words(text: str | None) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFKD", mended(text).replace("\u00ad", "")).translate(_MARKS)
     return _WORD.findall(text.casefold() if not text.isascii() else text.lower())
+
+
+def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about :data:`PORTION` bytes of a text column, so that long texts do not add up."""
+    size, at = 0, 0
+    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        size += n or 0
+        if size >= PORTION:
+            yield batch.slice(at, i + 1 - at)
+            size, at = 0, i + 1
+    if at < batch.num_rows:
+        yield batch.slice(at)
