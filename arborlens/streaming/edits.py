@@ -19,22 +19,18 @@ def read_events(spark: SparkSession, folder: str, schema: str, files_at_once: in
     return with_sound_op(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder))
 
 
-def track_files(events: DataFrame, window_us: int, forget: str = "2 hours") -> DataFrame:
+def track_files(events: DataFrame, window_us: int) -> DataFrame:
     """(root, path, event_id, ts, op, skipped, line_delta, size_delta) of each event in order of arrival.
 
     One state a file: its last known lines and size, and the last write seen. A write less than
     ``window_us`` after that is skipped (its successor, or the end of the burst, speaks for it); exactly the
     window later is outside; other operations are never skipped and end a burst. Deltas are those of
-    :func:`arborlens.operators.activity.deltas`. A file that is not heard of for ``forget`` keeps no burst.
+    :func:`arborlens.operators.activity.deltas`. The state is three numbers a file and needs no timer: a
+    burst that is over is told by the gap before the next write.
     ``events``: root, path, event_id, ts, op, lines, size.
     """
-    minutes = int(pd.Timedelta(forget).total_seconds() * 1000)
-
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
         lines, size, wrote = state.get if state.exists else (0, 0, None)
-        if state.hasTimedOut:
-            state.update((lines, size, None))
-            return
         f = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
         for event_id, ts, op, n, s in zip(f["event_id"], f["ts"], f["op"], f["lines"], f["size"]):
@@ -50,7 +46,6 @@ def track_files(events: DataFrame, window_us: int, forget: str = "2 hours") -> D
             out.append((event_id, ts, op, skipped, n - lines, s - size))
             lines, size = n, s
         state.update((lines, size, wrote))
-        state.setTimeoutDuration(minutes)
         rows = pd.DataFrame(out, columns=["event_id", "ts", "op", "skipped", "line_delta", "size_delta"])
         rows.insert(0, "root", name[0])
         rows.insert(1, "path", name[1])
@@ -58,7 +53,7 @@ def track_files(events: DataFrame, window_us: int, forget: str = "2 hours") -> D
 
     kinds = dict(events.dtypes)
     schema = f"root string, path string, event_id bigint, ts {kinds['ts']}, op string, skipped boolean, line_delta bigint, size_delta bigint"
-    return events.select("root", "path", "event_id", "ts", "op", "lines", "size").groupBy("root", "path").applyInPandasWithState(step, schema, "lines bigint, size bigint, wrote bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("root", "path", "event_id", "ts", "op", "lines", "size").groupBy("root", "path").applyInPandasWithState(step, schema, "lines bigint, size bigint, wrote bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def working_set(events: DataFrame) -> DataFrame:
