@@ -86,7 +86,9 @@ def mentions(text: Column, most: int | None = None) -> Column:
     exts = sorted({e[1:] for e in EXTENSIONS}, key=lambda e: (-len(e), e))
     # a name lies within a run of its letters: only runs with a dot are looked through for each extension
     runs = F.array_join(F.regexp_extract_all(text, F.lit(r"([a-zA-Z0-9_/.@-]+\.[a-zA-Z][a-zA-Z0-9_/.@-]*)"), 1), " ")
-    found = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(runs, F.lit(rf"([a-zA-Z0-9_/.@-]+\.{e}\b)"), 1) for e in exts])))
+    # bound by a lambda, the runs are found once and not anew for each extension
+    each = F.transform(F.array(runs), lambda r: F.array(*[F.regexp_extract_all(r, F.lit(rf"([a-zA-Z0-9_/.@-]+\.{e}\b)"), 1) for e in exts]))
+    found = F.array_distinct(F.flatten(F.element_at(each, 1)))
     return found if most is None else F.slice(found, 1, most)
 
 
