@@ -15,6 +15,7 @@ from arborlens.operators import coverage, graph, handoff, inventory, rank, resol
 from arborlens.operators.ranged import with_previous
 from arborlens.plans import views as V
 from arborlens.plans.views import NOW
+from arborlens.scratch import cut
 from arborlens.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,11 @@ def query(f: Callable) -> Callable:
     return f
 
 
+def _edges(s, d):
+    """The edges as a table, for queries that go through them several times."""
+    return cut(V.edges(s, d), "edges")
+
+
 def _ago(text: str):
     return F.lit(NOW).cast("timestamp_ntz") - F.expr(f"interval {text}")
 
@@ -60,13 +66,13 @@ def hub_footer_displayed(s, d):
 
 @query
 def hub_top3_importers(s, d):
-    e = V.edges(s, d)
+    e = _edges(s, d)
     return graph.top_importers(e, graph.hubs(e))
 
 
 @query
 def importers_of(s, d):
-    return graph.importers_report(V.edges(s, d), V.changed(s, d))
+    return graph.importers_report(_edges(s, d), V.changed(s, d))
 
 
 @query
@@ -81,7 +87,7 @@ def connected_files(s, d):
 
 @query
 def hub_imports(s, d):
-    e = V.edges(s, d)
+    e = _edges(s, d)
     return graph.hub_imports(e, graph.hubs(e))
 
 
@@ -124,20 +130,20 @@ def blast_impacted(s, d):
 
 @query
 def blast_context(s, d):
-    e = V.edges(s, d)
+    e = _edges(s, d)
     return graph.context(e, V.changed(s, d), graph.hubs(e))
 
 
 @query
 def blast_top_impacted(s, d):
-    e = V.edges(s, d)
+    e = _edges(s, d)
     n = graph.degrees(e).select(F.col("path").alias("via"), F.col("importers").alias("via_importers"))
     return graph.impacted(e, V.changed(s, d)).join(n, "via").orderBy(F.desc("via_importers"), "path", "via").limit(12)
 
 
 @query
 def blast_summary(s, d):
-    return graph.blast_summary(V.edges(s, d), V.changed(s, d))
+    return graph.blast_summary(_edges(s, d), V.changed(s, d))
 
 
 @query
