@@ -42,7 +42,8 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 def _importer_pairs(spark: SparkSession, d: str) -> DataFrame:
     reports = table(spark, d, "importers_report").select("root", "file", "importers")
-    one = reports.select(plain_path(F.col("file"), F.col("root")).alias("path"), "root", F.explode(F.array_distinct("importers")).alias("importer"))
+    # a report without importers keeps a null one, so that its file has a row
+    one = reports.select(plain_path(F.col("file"), F.col("root")).alias("path"), "root", F.explode_outer(F.array_distinct("importers")).alias("importer"))
     return one.filter(F.col("path").isNotNull()).select("path", plain_path(F.col("importer"), F.col("root")).alias("importer"))
 
 
