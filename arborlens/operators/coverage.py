@@ -39,6 +39,17 @@ def folded(statuses: Column) -> Column:
     return F.aggregate(F.coalesce(statuses, F.array().cast("array<string>")), start, step, lambda s: s["status"])
 
 
+def recorded(sources: DataFrame, key: list[str]) -> DataFrame:
+    """(key, status): what :func:`folded` gives for all sources of each key, without a list of them.
+
+    It ends at '' if all are authoritative, at unavailable if none is usable, else at partial, in whatever order they
+    are recorded: partial never changes again, and unavailable only lasts until a usable source comes.
+    """
+    s = F.col("status")
+    one = sources.groupBy(*key).agg(F.bool_and(F.coalesce(s == "authoritative", F.lit(False))).alias("all"), F.bool_or(F.coalesce(s.isin(*USABLE), F.lit(False))).alias("some"))
+    return one.select(*key, F.when(F.col("all"), "").when(F.col("some"), "partial").otherwise("unavailable").alias("status"))
+
+
 def notes(sources: DataFrame, key: list[str]) -> DataFrame:
     """(key, notes): details in order of record, each once."""
     rows = sources.filter(F.coalesce("detail", F.lit("")) != "").groupBy(*key, "detail").agg(F.min("seq").alias("seq"))

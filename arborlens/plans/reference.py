@@ -517,11 +517,8 @@ def coverage_reduce(s, d):
 
 @query
 def coverage_fold(s, d):
-    rows = table(s, d, "importers_report").filter(F.col("coverage_status").isNotNull()).select("root", "report_id", F.when(F.col("coverage_status") == "complete", "authoritative").when(F.col("coverage_status") == "partial", "mixed").otherwise("timeout").alias("status")).distinct()
-    # the first few outcomes of each root, in order of report
-    nth = F.row_number().over(Window.partitionBy("root").orderBy("report_id", "status"))
-    per = rows.withColumn("nth", nth).filter("nth <= 5").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("nth", "status"))).alias("s"))
-    return per.select("root", coverage.folded(F.transform("s", lambda x: x["status"])).alias("status"))
+    rows = table(s, d, "importers_report").filter(F.col("coverage_status").isNotNull()).select("root", F.when(F.col("coverage_status") == "complete", "authoritative").when(F.col("coverage_status") == "partial", "mixed").otherwise("timeout").alias("status"))
+    return coverage.recorded(rows, ["root"])
 
 
 @query

@@ -1,6 +1,11 @@
 """Queries on small tables of their own, for what the test tables or the SQL do not show."""
 
-from arborlens.plans import problems
+from itertools import product
+
+from pyspark.sql import functions as F
+
+from arborlens.operators import coverage
+from arborlens.plans import problems, reference
 
 
 def test_files_without_importers_have_a_row(spark, tmp_path):
@@ -8,3 +13,18 @@ def test_files_without_importers_have_a_row(spark, tmp_path):
     spark.createDataFrame(rows, "root string, file string, importers array<string>").write.parquet(f"{tmp_path}/importers_report.parquet")
     got = {r["path"]: r["importers"] for r in problems.p2_importers(spark, str(tmp_path)).collect()}
     assert got == {"a.go": 1, "none.go": 0, "empty.go": 0, "null.go": 0}
+
+
+def test_all_outcomes_are_folded(spark, tmp_path):
+    rows = [("late", i, "complete") for i in range(9)] + [("late", 9, "unavailable"), ("mixed", 1, "unavailable"), ("mixed", 2, None), *[("mixed", i, "unavailable") for i in range(3, 9)], ("mixed", 9, "partial")]
+    rows += [("all", i, "complete") for i in range(9)] + [("none", i, "unavailable") for i in range(9)]
+    spark.createDataFrame(rows, "root string, report_id bigint, coverage_status string").write.parquet(f"{tmp_path}/importers_report.parquet")
+    got = {r["root"]: r["status"] for r in reference.coverage_fold(spark, str(tmp_path)).collect()}
+    assert got == {"late": "partial", "mixed": "partial", "all": "", "none": "unavailable"}
+
+
+def test_recorded_is_what_the_fold_gives(spark):
+    cases = [c for n in range(1, 5) for c in product(("authoritative", "fallback", "mixed", "timeout"), repeat=n)]
+    lists = spark.createDataFrame([(i, list(c)) for i, c in enumerate(cases)], "k int, s array<string>")
+    want = {r["k"]: r["f"] for r in lists.select("k", coverage.folded(F.col("s")).alias("f")).collect()}
+    assert {r["k"]: r["status"] for r in coverage.recorded(lists.select("k", F.explode("s").alias("status")), ["k"]).collect()} == want
