@@ -147,14 +147,16 @@ def first_changed(changed: DataFrame, risk: DataFrame, most: int) -> DataFrame:
     return one.orderBy(F.col("importers").isNull(), F.desc_nulls_last("importers"), "path").limit(most).select("path", F.col("importers").isNotNull().alias("is_risk"))
 
 
-def snippets(relations: DataFrame, text: DataFrame, terms: DataFrame, most: int = 8, per_via: int = 2) -> DataFrame:
+def snippets(relations: DataFrame, text: DataFrame, terms: DataFrame, most: int | None = 8, per_via: int = 2) -> DataFrame:
     """(seq, path, via, line_no, line): for each relation, in order, the first line of its file that holds the first term that any does.
 
     ``relations``: seq, path, via; ``text``: path, line_no, line; ``terms``: via, rank, term, whole (word or part).
+    ``most`` is for the relations of one request; for many requests at once it is None, and ``per_via`` alone limits.
     """
     hits = relations.join(terms, "via").join(text, "path")
     whole = F.regexp_like(F.col("line"), F.concat(F.lit(r"\b"), F.regexp_replace("term", r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"\b")))
     hits = hits.filter(F.when(F.col("whole"), whole).otherwise(F.contains(F.col("line"), F.col("term"))))
     best = hits.groupBy("seq", "path", "via").agg(F.min_by(F.struct("line_no", "line"), F.struct("rank", "line_no")).alias("b"))
     nth = F.row_number().over(Window.partitionBy("via").orderBy("seq"))
-    return best.withColumn("nth", nth).filter(F.col("nth") <= per_via).orderBy("seq").limit(most).select("seq", "path", "via", "b.line_no", "b.line")
+    kept = best.withColumn("nth", nth).filter(F.col("nth") <= per_via)
+    return (kept if most is None else kept.orderBy("seq").limit(most)).select("seq", "path", "via", "b.line_no", "b.line")

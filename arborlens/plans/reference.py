@@ -500,13 +500,13 @@ def excerpts(s, d):
 
 @query
 def snippet_terms(s, d):
-    # every file is asked for the names of its directory and of itself
+    # every file is a request of its own, for its name as a word and the letters it begins with
     f = V.files(s, d).select(F.col("file_id").alias("seq"), F.col("file_id").alias("path"), F.col("path").alias("p"))
     text = V.contents(s, d).select(F.col("file_id").alias("path"), F.posexplode(T.lines(F.col("content"))).alias("n", "line")).select("path", (F.col("n") + 1).alias("line_no"), "line")
     stem = F.regexp_replace(F.substring_index("p", "/", -1), r"\.[^.]*$", "")
     first = F.regexp_extract(stem, r"^[A-Za-z]+", 0)
     terms = f.select(F.col("seq").alias("via"), F.posexplode(F.array(F.struct(stem.alias("term"), F.lit(True).alias("whole")), F.struct(first.alias("term"), F.lit(False).alias("whole")))).alias("rank", "t")).select("via", "rank", "t.term", "t.whole").filter(F.col("term") != "")
-    return graph.snippets(f.select("seq", "path", F.col("seq").alias("via")), text, terms, most=200)
+    return graph.snippets(f.select("seq", "path", F.col("seq").alias("via")), text, terms, most=None)
 
 
 @query

@@ -28,3 +28,12 @@ def test_recorded_is_what_the_fold_gives(spark):
     lists = spark.createDataFrame([(i, list(c)) for i, c in enumerate(cases)], "k int, s array<string>")
     want = {r["k"]: r["f"] for r in lists.select("k", coverage.folded(F.col("s")).alias("f")).collect()}
     assert {r["k"]: r["status"] for r in coverage.recorded(lists.select("k", F.explode("s").alias("status")), ["k"]).collect()} == want
+
+
+def test_every_file_has_its_snippet(spark, tmp_path):
+    n = 250
+    files = spark.range(n).select(F.col("id").alias("file_id"), F.lit("r").alias("root"), F.format_string("d/name%d.go", "id").alias("path"), F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("added"), F.lit(0).alias("removed"), F.lit(False).alias("is_new"))
+    files.write.parquet(f"{tmp_path}/files.parquet")
+    spark.range(n).select(F.col("id").alias("file_id"), F.format_string("package d\nfunc name%d() {}", "id").alias("content")).write.parquet(f"{tmp_path}/contents.parquet")
+    got = {r["seq"]: r["line_no"] for r in reference.snippet_terms(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(range(n), 2)
