@@ -4,7 +4,7 @@ Repositories may declare such paths in attribute files. Each line's glob is comp
 below its directory; of all lines that match a path, the one in the deepest directory, and there the last, decides
 an attribute. Repositories without attribute files get equivalent patterns: those that declared repositories
 share, names of copied packages mined from the corpus, and the fixed list below, read as an attribute file at the
-top. What paths leave open is decided by a file's text: notices in its first lines and the shape of its lines.
+top. What paths leave open is decided by a file's text: notices in its first lines and leading comments, and the shape of its lines.
 """
 
 from __future__ import annotations
@@ -83,6 +83,11 @@ _BY_OTHERS = _COMMENT + (
     r"(?:[^\n]*\(c\) [^\n]*\b(?:contributors|authors)\b|[^\n]*\bupstream: ?\S+|part of [\w.-]+ v?\d+(?:\.\d+)+\b|[^\n]*\bcopied (?:unchanged |verbatim )?from [\w.-]+ v?\d+(?:\.\d+)+"
     r"|[\w.-]+ v\d+(?:\.\d+)+ \| )"
 )
+#: The comments, of any length, that a text begins with: a notice may follow a licence. Possessive, so that long ones need no stack.
+_HEADER = (
+    r"^\ufeff?(?:[ \t]*(?:\r?\n|<\?php[^\n]*(?:\n|$)|/\*(?s:.*?)\*/[^\n]*(?:\n|$)|<!--(?s:.*?)-->[^\n]*(?:\n|$)|\"\"\"(?s:.*?)\"\"\"[^\n]*(?:\n|$)|'''(?s:.*?)'''[^\n]*(?:\n|$)"
+    r"|(?://|#(?!include|define|import)|\*|--|;|')[^\n]*(?:\n|$)))*+"
+)
 #: A line of values only: numbers, bytes, one long word in quotes, separated fields that begin with a number.
 _VALUES = r"^\s*(?:(?:(?:0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?)\s*[,;]?\s*){4,}|\"[A-Za-z0-9+/=]{40,}\"[,;]?|\d+(?:[;,|\t][^\s;,|\t]*){2,})\s*$"
 #: A line this long holds no hand-written code: minified, or data.
@@ -179,7 +184,7 @@ def stem(path: Column) -> Column:
 
 def by_text(content: Column) -> dict[str, Column]:
     """What a file's text says: by_program, by_others, dense (minified, or data in long lines), data."""
-    top = F.substring_index(content, "\n", 5)
+    top = F.concat_ws("\n", F.substring_index(content, "\n", 5), F.regexp_extract(content, _HEADER, 0))
     lines = F.filter(F.split(content, "\n"), lambda x: F.trim(x) != "")
     values = F.size(F.filter(lines, lambda x: x.rlike(_VALUES)))
     return {

@@ -62,3 +62,14 @@ def test_names_of_packages_are_mined(spark):
 def test_empty_and_repeated(spark):
     assert found(spark, [], []) == {}
     assert found(spark, [(1, "R", "a/b.go", 1), (1, "R", "./a/b.go", None)], [(1, "", "package a\n"), (1, "", None)]) == {1: None}
+
+
+def test_notices_behind_a_licence(spark):
+    licence = [" * Licensed to whom it may concern."] * 400
+    notes = {
+        1: "\n".join(["/*", *licence, " */", "", "// Code generated by tool. DO NOT EDIT.", "package x"]), 2: "\n".join(["# Licence"] * 9 + ["# upstream: https://example.org/x", "x = 1"]),
+        3: "\n".join(["# Licence"] * 9 + ["x = 1", "# generated by hand", "# do not edit"]), 4: "\n".join(["#include <a.h>"] * 9 + ["/* do not edit */"]),
+    }
+    df = spark.createDataFrame(list(notes.items()), "id int, content string")
+    says = A.by_text(df["content"])
+    assert {r["id"]: (r["p"], r["o"]) for r in df.select("id", says["by_program"].alias("p"), says["by_others"].alias("o")).collect()} == {1: (True, False), 2: (False, True), 3: (False, False), 4: (False, False)}
