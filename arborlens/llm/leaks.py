@@ -53,7 +53,7 @@ LEAST = min(surviving(n) for n in range(PASSAGE, 2 * PASSAGE))
 
 def needed(size: int) -> int:
     """Equal places that a true pair with a document block of ``size`` shingles has, but for a chance of MISS."""
-    full = BLOCK - SHINGLE + 1
+    full = 2 * STRIDE  # two tiles
     likeness = LEAST / (max(size, LEAST) + full - LEAST)
     below = 0.0
     for n in range(HASHES + 1):
@@ -64,7 +64,7 @@ def needed(size: int) -> int:
 
 
 #: Upper bounds of the size partitions, in shingles, and what each asks for.
-_SIZES = np.array([12, 18, 26, 36, 46, BLOCK - SHINGLE + 1])
+_SIZES = np.array([12, 18, 26, 36, 46, 2 * STRIDE])
 _NEEDED = np.array([needed(int(s)) for s in _SIZES])
 
 

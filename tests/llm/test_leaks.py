@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -83,3 +84,11 @@ def test_signatures_estimate_likeness():
     b[:30] = a[:30]
     both = L.signatures(np.concatenate([a, b]), np.array([0, 60]))
     assert 0.15 < (both[:, 0] == both[:, 1]).mean() < 0.55
+
+
+def test_least_likeness_holds_for_full_blocks():
+    # two tiles of an item and of a document, LEAST shingles in common
+    for size, want in zip(L._SIZES, L._NEEDED):
+        p = L.LEAST / (max(int(size), L.LEAST) + 2 * L.STRIDE - L.LEAST)
+        assert sum(math.comb(L.HASHES, n) * p**n * (1 - p) ** (L.HASHES - n) for n in range(want)) <= L.MISS
+    assert L._SIZES[-1] == 2 * L.STRIDE
