@@ -187,7 +187,11 @@ def conform(raw: DataFrame, changes: DataFrame, lineage: str, file: str, written
     """
     renames = changes.filter(F.col("change_kind").isin("renamed", "moved")).groupBy(lineage).agg(F.array_sort(F.collect_list(F.struct("written", file, "old_path", "new_path"))).alias("__renames"))
     at = raw.groupBy(lineage, file).agg(F.min(written).alias("__at"))
-    joined = raw.select(*dict.fromkeys([*keep, lineage, file, written, payload])).join(at, [lineage, file], "left").join(renames, lineage, "left")
+    joined = raw.select(*dict.fromkeys([*keep, lineage, file, written, payload]))
+    # null lineages and files are such as others
+    for right, on in ((at, [lineage, file]), (renames, [lineage])):
+        right = right.withColumnsRenamed({c: f"__{c}" for c in on})
+        joined = joined.join(right, [joined[c].eqNullSafe(right[f"__{c}"]) for c in on], "left").drop(*[f"__{c}" for c in on])
     base = list(dict.fromkeys([*keep, lineage, file]))
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in base) + ", fields map<string,string>"
@@ -203,6 +207,7 @@ def conform(raw: DataFrame, changes: DataFrame, lineage: str, file: str, written
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, list[str]] = {}
         path = lambda p: memo.get(p) or memo.setdefault(p, parts(p))
+        place = lambda *key: [(x is not None, x) for x in key]  # noqa: E731  # null first, as schema_changes orders files
         for b in batches:
             took, maps = [], []
             files, texts, ats, lists = (b.column(n).to_pylist() for n in (file, payload, "__at", "__renames"))
@@ -211,7 +216,7 @@ def conform(raw: DataFrame, changes: DataFrame, lineage: str, file: str, written
                 if value is None:
                     continue
                 for r in reversed(todo or []):
-                    if when is not None and (r["written"] is None or (r["written"], r[file]) <= (when, fl)):
+                    if place(r["written"], r[file]) <= place(when, fl):
                         _undo(value, path(r["new_path"]), path(r["old_path"]))
                 took.append(i)
                 maps.append(list(flat(value)))

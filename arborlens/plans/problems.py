@@ -82,7 +82,10 @@ def p3_moves(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
     """All readable records in one schema, each once however often it was loaded."""
-    raw = table(spark, d, "handoff_raw").dropDuplicates(["record_id"])
+    raw = table(spark, d, "handoff_raw")
+    # records without an id are told apart by all they hold; when they were loaded is not part of it
+    whole = F.when(F.col("record_id").isNull(), F.struct(*[c for c in raw.columns if c != "loaded_at"]))
+    raw = raw.withColumn("__whole", whole).dropDuplicates(["record_id", "__whole"]).drop("__whole")
     changes = cut(schema_changes(raw, *_RAW, moves=True), "changes")
     one = conform(raw, changes, *_RAW, keep=["record_id"])
     get = lambda name: F.col("fields")[name]

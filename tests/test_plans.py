@@ -1,5 +1,6 @@
 """Queries on small tables of their own, for what the test tables or the SQL do not show."""
 
+from datetime import datetime, timedelta
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -37,3 +38,14 @@ def test_every_file_has_its_snippet(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("file_id"), F.format_string("package d\nfunc name%d() {}", "id").alias("content")).write.parquet(f"{tmp_path}/contents.parquet")
     got = {r["seq"]: r["line_no"] for r in reference.snippet_terms(spark, str(tmp_path)).collect()}
     assert got == dict.fromkeys(range(n), 2)
+
+
+def test_records_of_null_ids_lineages_and_files(spark, tmp_path):
+    t = lambda n: datetime(2024, 1, 1, n)
+    rows = [
+        (None, None, None, t(1), 1, t(5), '{"root": "a"}'), (None, None, None, t(1), 1, t(6), '{"root": "a"}'), (None, None, None, t(1), 2, t(5), '{"root": "b"}'),
+        (7, None, "f2", t(2), 1, t(5), '{"base": "c"}'), (7, None, "f2", t(2), 1, t(6), '{"base": "c"}'), (8, "L", "f1", None, 1, t(5), '{"root": "d"}'), (9, "L", None, t(2), 1, t(5), '{"base": "e"}'),
+    ]
+    spark.createDataFrame(rows, "record_id bigint, lineage string, file_name string, file_written_at timestamp, line_no int, loaded_at timestamp, payload string").write.parquet(f"{tmp_path}/handoff_raw.parquet")
+    got = sorted((r["record_id"] or 0, r["root"]) for r in problems.p3_table(spark, str(tmp_path)).collect())
+    assert got == [(0, "a"), (0, "b"), (7, "c"), (8, "d"), (9, "e")]
