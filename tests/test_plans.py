@@ -40,6 +40,15 @@ def test_every_file_has_its_snippet(spark, tmp_path):
     assert got == dict.fromkeys(range(n), 2)
 
 
+def test_drift_window_counts_commits(spark, tmp_path):
+    t = lambda n: datetime(2024, 1, 1) + timedelta(minutes=n)
+    # 300 rows of the newest commit do not fill the window; the document's own commit is older than the code's
+    rows = [(i, t(9), ["x.go"]) for i in range(300)] + [(900, t(5), ["src/a.go"]), (901, t(3), ["core/auth/d.md"])]
+    df = spark.createDataFrame(rows, "artifact_id bigint, written_at timestamp, paths array<string>")
+    df.select("artifact_id", "written_at", F.struct(F.transform("paths", lambda p: F.struct(p.alias("path"))).alias("changed")).alias("delta")).write.parquet(f"{tmp_path}/handoff_artifact.parquet")
+    assert [tuple(r) for r in reference.doc_drift(spark, str(tmp_path)).filter("code = 'src/' and subsystem = 'core'").collect()] == [("core", "core/auth/", "src/", 1)]
+
+
 def test_records_of_null_ids_lineages_and_files(spark, tmp_path):
     t = lambda n: datetime(2024, 1, 1, n)
     rows = [
