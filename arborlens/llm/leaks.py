@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.llm.text import portions, words
+from arborlens.llm.text import portions, readings, words
 
 #: Words in a shingle; shortest passage in words; one word in so many may be changed, dropped or added.
 SHINGLE, PASSAGE, ONE_IN = 5, 30, 10
@@ -114,8 +114,10 @@ class Index:
     """Signatures of the items' blocks, by function and value."""
 
     def __init__(self, items: list[tuple[int, str]], memo: Words) -> None:
+        items = [(i, r) for i, t in items for r in readings(t)]
         self.ids = [i for i, _ in items]
         hashed, start, size = read([t for _, t in items], memo)
+        self.known = frozenset(memo.known)
         self.words = [hashed[a : a + n] for a, n in zip(start, size)]
         own = [shingles(w) for w in self.words]
         pairs = np.unique(np.stack([np.concatenate([*own, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(own)), [len(s) for s in own]).astype(np.uint64)]), axis=1)
@@ -293,7 +295,8 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
             index, memo = _indexes[name]
             for b in batches:
                 for part in portions(b, 1):
-                    found = sorted(search(index, part.column(1).to_pylist(), memo))
+                    read_as = [(t, r) for t, text in enumerate(part.column(1).to_pylist()) for r in readings(text, index.known)]
+                    found = sorted((read_as[t][0], i) for t, i in search(index, [r for _, r in read_as], memo))
                     ids = pa.array([index.ids[i] for _, i in found])
                     yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()) if not len(ids) else ids, part.column(0).take(pa.array([t for t, _ in found], pa.int64()))], names=[item_id, doc_id])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -17,7 +17,7 @@ PORTION = 4 << 20
 _BROKEN = re.compile("[\u00c2-\u00df](?:[\u0080-\u00bf]|[\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122])")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([nrtbf\"'/\\]))")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
-_HYPHEN = re.compile("\u00ad|-\r?\n[ \t]*(?:[>#*/]+[ \t]*)?(?=[a-z])")
+_HYPHEN = re.compile(r"(?<=[^\W\d_])[-\u2010\u00ad](?:\r?\n|(?:\\r)?\\n)[ \t]*(?:[>#*/]+[ \t]*)?(?=([^\W\d_]+))")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = {c: None for c in range(0x300, 0x370)}
 
@@ -55,6 +55,23 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold() if not text.isascii() else text.lower())
 
 
+def readings(text: str | None, known: Container[str] = ()) -> list[str | None]:
+    """The text, and with words joined that a hyphen breaks at a line's end: all, and only those that give a ``known`` word.
+
+    A break does not tell whether the hyphen belongs to the word, so neither reading replaces the other.
+    """
+    if not text or not _HYPHEN.search(text):
+        return [text]
+
+    def join(m: re.Match) -> str:
+        at = m.start()
+        while at and text[at - 1].isalpha():
+            at -= 1
+        return "" if "".join(words(text[at : m.start()] + m[1])) in known else m[0]
+
+    return list(dict.fromkeys([text, _HYPHEN.sub("", text), *([_HYPHEN.sub(join, text)] if known else [])]))
+
+
 def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about :data:`PORTION` bytes of a text column, so that long texts do not add up."""
     size, at = 0, 0

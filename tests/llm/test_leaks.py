@@ -92,3 +92,14 @@ def test_least_likeness_holds_for_full_blocks():
         p = L.LEAST / (max(int(size), L.LEAST) + 2 * L.STRIDE - L.LEAST)
         assert sum(math.comb(L.HASHES, n) * p**n * (1 - p) ** (L.HASHES - n) for n in range(want)) <= L.MISS
     assert L._SIZES[-1] == 2 * L.STRIDE
+
+
+def test_words_broken_at_a_line_end(spark):
+    item = [f"{a}{b}put" for a in "abcdef" for b in "ghijk"] + ["well", "known"]
+    text = lambda ws: " ".join(ws)
+    broken = lambda ws, *at: text(w[:2] + "-\n" + w[2:] if i in at else w for i, w in enumerate(ws))
+    # two breaks and, in the second, a third edit; a hyphen of its own at a line's end beside two breaks
+    docs = {1: broken(item[:30], 3, 17), 2: broken(item[:30], 3, 17).replace(item[9], "other"), 3: broken(item[2:30], 5, 19, 23) + " well-\nknown", 4: broken(item[:30], 3, 17).replace("-\n", "-\r\n> ")}
+    rows = [(1, text(item[:30]) + " well-known"), (2, broken(item, 7, 8, 9))]
+    got = {tuple(x) for x in L.leaked(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(rows, "item_id bigint, text string")).collect()}
+    assert got == {(i, d) for i in (1, 2) for d in docs}
