@@ -9,9 +9,10 @@ from arborlens.operators.ranged import with_previous
 
 #: Endings of binary files and directories of tools, which no hand-off lists.
 BINARY = (
-    "exe dll bin o a so dylib wasm class jar zip tar gz 7z png jpg jpeg gif webp ico bmp tiff mp3 wav ogg mp4 mov avi log out pdf ttf otf woff woff2"
-).split()
-TOOLS = ".git .arborlens node_modules vendor dist build target __pycache__ .next .nuxt".split()
+    "exe", "dll", "bin", "o", "a", "so", "dylib", "wasm", "class", "jar", "zip", "tar", "gz", "7z", "png", "jpg", "jpeg", "gif", "webp", "ico",
+    "bmp", "tiff", "mp3", "wav", "ogg", "mp4", "mov", "avi", "log", "out", "pdf", "ttf", "otf", "woff", "woff2",
+)
+TOOLS = (".git", ".arborlens", "node_modules", "vendor", "dist", "build", "target", "__pycache__", ".next", ".nuxt")
 
 
 def listed(path: Column, content: Column | None = None) -> Column:

@@ -20,7 +20,7 @@ from arborlens.functions.paths import base_name, dir_name
 from arborlens.scratch import cut
 
 #: Conditions of exports that name a file at run time, and schemes of specifiers that name none here.
-RUNTIME = "default import require module-sync node node-addons browser development production deno bun".split()
+RUNTIME = ("default", "import", "require", "module-sync", "node", "node-addons", "browser", "development", "production", "deno", "bun")
 EXTERNAL = r"(?i)^(node|bun|npm|jsr|http|https|data):"
 _TYPES = (".d.ts", ".d.mts", ".d.cts")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlens.functions.dims import CONFIDENCE_FLOOR, HUB, INTENT, SIGNALS
+from arborlens.functions.dims import CONFIDENCE_FLOOR, HUB, SIGNALS
 from arborlens.functions.paths import dir_name
 from arborlens.functions.text import skill_path
 
@@ -126,9 +126,3 @@ def next_steps(intent: DataFrame, mentioned: DataFrame, importers: DataFrame, mo
     )
     kept = F.slice(F.array_distinct(F.filter(steps, lambda s: s.isNotNull())), 1, most)
     return one.select("id", F.posexplode(kept).alias("pos", "step")).select("id", (F.col("pos") + 1).alias("nth"), "step")
-
-
-def signal_table(spark: SparkSession) -> DataFrame:
-    """The phrases as a table (category, ord, phrase, weight)."""
-    assert len(INTENT) == len({s[0] for s in SIGNALS})
-    return spark.createDataFrame(SIGNALS, "category string, ord int, phrase string, weight int")
