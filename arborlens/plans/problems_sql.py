@@ -110,7 +110,8 @@ SQL = {
         HAVING count(*) >= 0.01 * (SELECT count(*) FROM pairs WHERE importer IS NOT NULL)
       UNION ALL
       SELECT 'hub_summary', path FROM spairs GROUP BY path HAVING count(*) >= 0.01 * (SELECT count(*) FROM spairs)""",
-    "p2_importers": f"WITH {_IMPORTERS} SELECT path, count(importer) AS importers FROM pairs GROUP BY path",
+    "p2_importers": f"""WITH {_IMPORTERS}, named AS (SELECT DISTINCT {plain("file", "root")} AS path FROM importers_report WHERE file IS NOT NULL), n AS (SELECT path, count(importer) AS importers FROM pairs GROUP BY path)
+      SELECT path, coalesce(importers, 0) AS importers FROM named LEFT JOIN n USING (path)""",
     "p2_snapshots": f"WITH {_HUBS} SELECT path, count(DISTINCT snapshot_id) AS snapshots, max(importers) AS most_importers FROM hubs GROUP BY path",
     "p3_found": f"WITH {_TREES}",
     "p5_found": f"{_SESSIONS} SELECT root, first_event_id, last_event_id FROM sessions",
