@@ -110,13 +110,13 @@ def deltas(events: DataFrame, key: list[str] = ("root", "path")) -> DataFrame:
 def related_hot(events: DataFrame, connected: DataFrame, window_us: int) -> DataFrame:
     """(event_id, other): connected files with a CREATE or WRITE in the window before an event, in its root.
 
-    ``connected``: path, other. The range join is made an equi-join on time buckets one window wide: an
+    ``connected``: root, path, other. The range join is made an equi-join on time buckets one window wide: an
     event looks into its own bucket and the one before.
     """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     touched = events.filter(F.col("op").isin(*TOUCHES)).select("root", F.col("path").alias("other"), us.alias("t2"))
     touched = touched.withColumn("bucket", F.floor(F.col("t2") / window_us))
-    asked = events.select("event_id", "root", "path", us.alias("t1")).join(connected, "path").filter(F.col("other") != F.col("path"))
+    asked = events.select("event_id", "root", "path", us.alias("t1")).join(connected, ["root", "path"]).filter(F.col("other") != F.col("path"))
     asked = asked.withColumn("bucket", F.explode(F.array(F.floor(F.col("t1") / window_us), F.floor(F.col("t1") / window_us) - 1)))
     near = asked.join(touched, ["root", "other", "bucket"]).filter((F.col("t2") <= F.col("t1")) & (F.col("t2") >= F.col("t1") - window_us))
     return near.select("event_id", "other").distinct()

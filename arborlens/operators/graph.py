@@ -45,10 +45,10 @@ def top_importers(edges: DataFrame, hub_rows: DataFrame, most: int = 3) -> DataF
     return rows.withColumn("nth", nth).filter(F.col("nth") <= most).select("path", "importers", "src", "nth")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(path, other): whatever a file imports or is imported by, itself left out."""
-    one = edges.select(F.col("src").alias("path"), F.col("dst").alias("other"))
-    two = edges.select(F.col("dst").alias("path"), F.col("src").alias("other"))
+def connected(edges: DataFrame, key: list[str] = ()) -> DataFrame:
+    """(key, path, other): whatever a file imports or is imported by, itself left out."""
+    one = edges.select(*key, F.col("src").alias("path"), F.col("dst").alias("other"))
+    two = edges.select(*key, F.col("dst").alias("path"), F.col("src").alias("other"))
     return one.unionByName(two).filter(F.col("path") != F.col("other")).distinct()
 
 

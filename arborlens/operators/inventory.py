@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlens.functions.dims import CODE_EXTENSIONS, CODE_NAMES, IGNORED, LARGE_TREE, MEDIUM_TREE
+from arborlens.functions.dims import ASSETS, CODE_EXTENSIONS, CODE_NAMES, IGNORED, LARGE_TREE, MEDIUM_TREE
 from arborlens.functions.paths import base_name, dir_name
 from arborlens.functions.text import language, passes
 
@@ -77,17 +77,20 @@ def top_extensions(files: DataFrame, most: int = 5) -> DataFrame:
     return files.filter(F.col("ext") != "").groupBy("ext").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "ext").limit(most)
 
 
+def asset(ext: Column) -> Column:
+    """Whether an extension is none, or one of pictures, fonts, sound, archives, documents, binaries and lock files."""
+    e = F.coalesce(F.lower(ext), F.lit(""))
+    return (e == "") | e.isin(*ASSETS)
+
+
 def largest(files: DataFrame, most: int = 5) -> DataFrame:
-    """The largest source files, or the largest of all if there is no source (path, size)."""
-    source = files.filter(F.col("size").isNotNull()).select("path", "size", language(F.col("path")).isNotNull().alias("s"))
-    # source before the rest: where there is any source, the rest is dropped again from the few rows left
-    few = source.orderBy(F.desc("s"), F.desc("size"), "path").limit(most)
-    return few.withColumn("any", F.max("s").over(Window.partitionBy(F.lit(1)))).filter(F.col("s") == F.col("any")).select("path", "size")
+    """The largest files that are no assets (path, size); files without extension or size do not count."""
+    return files.filter(F.col("size").isNotNull() & ~asset(F.col("ext"))).select("path", "size").orderBy(F.desc("size"), "path").limit(most)
 
 
 def largest_in(files: DataFrame, key: list[str], most: int = 5) -> DataFrame:
-    """As :func:`largest` among source files, for each key, with place ``nth``."""
-    source = files.filter(F.col("size").isNotNull() & language(F.col("path")).isNotNull())
+    """As :func:`largest`, for each key, with place ``nth``."""
+    source = files.filter(F.col("size").isNotNull() & ~asset(F.col("ext")))
     w = Window.partitionBy(*key).orderBy(F.desc("size"), "path")
     return source.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).select(*key, "nth", "path", "size")
 

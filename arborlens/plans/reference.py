@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlens.functions import text as T
 from arborlens.functions.extract import analyses
-from arborlens.functions.paths import dir_name
+from arborlens.functions.paths import dir_name, plain_path
 from arborlens.operators import activity as A
 from arborlens.operators import coverage, graph, handoff, inventory, rank, resolve
 from arborlens.operators.ranged import with_previous
@@ -119,7 +119,7 @@ def changed_semi(s, d):
 def impact_by_basename(s, d):
     # changed files in order of name; imports as the reports list them
     changed = V.changed(s, d).select(F.col("path").alias("seq"), "path")
-    raw = table(s, d, "importers_report").select(F.col("file").alias("path"), F.explode("imports").alias("spec"))
+    raw = table(s, d, "importers_report").select(plain_path(F.col("file"), F.col("root")).alias("path"), F.explode("imports").alias("spec"))
     return graph.impact(raw.dropna(), changed)
 
 
@@ -167,7 +167,7 @@ def status_rank_merge(s, d):
 
 
 def _per_root(s, d):
-    return V.files(s, d).select("root", "file_id", "path", "size", "ext")
+    return V.files(s, d, "size").select("root", "file_id", "path", "size", "ext")
 
 
 @query
@@ -278,87 +278,86 @@ def test_files(s, d):
 
 @query
 def activity_by_file(s, d):
-    return A.activity(V.events(s, d))
+    return A.activity(V.events(s, d, "root", "op", "path", "delta", "ts", "dirty"))
 
 
 @query
 def activity_recent(s, d):
-    return A.activity(V.events(s, d), _ago("7 days"))
+    return A.activity(V.events(s, d, "root", "op", "path", "delta", "ts", "dirty"), _ago("7 days"))
 
 
 @query
 def activity_summary(s, d):
-    return A.activity_summary(V.events(s, d))
+    return A.activity_summary(V.events(s, d, "root", "op", "path", "delta", "dirty"))
 
 
 @query
 def session_summary_all_ops(s, d):
-    return A.activity_summary(V.events(s, d), every_op=True)
+    return A.activity_summary(V.events(s, d, "root", "op", "path", "delta", "dirty"), every_op=True)
 
 
 @query
 def timeline_last_n(s, d):
-    return A.newest(V.events(s, d), 50).select("event_id", "ts", "op", "path")
+    return A.newest(V.events(s, d, "ts", "op", "root", "path"), 50).select("event_id", "ts", "op", "path")
 
 
 @query
 def bounded_history(s, d):
-    return A.newest_of(V.events(s, d), ["root"], 50)
+    return A.newest_of(V.events(s, d, "root", "ts", "op", "path"), ["root"], 50)
 
 
 @query
 def working_set(s, d):
-    return A.working_set(V.events(s, d))
+    return A.working_set(V.events(s, d, "root", "ts", "op", "path", "delta"))
 
 
 @query
 def hot_files(s, d):
-    return A.hot_files(A.working_set(V.events(s, d)), 20)
+    return A.hot_files(A.working_set(V.events(s, d, "root", "ts", "op", "path", "delta")), 20)
 
 
 @query
 def active_files(s, d):
-    return A.active_since(A.working_set(V.events(s, d)), _ago("3 days"))
+    return A.active_since(A.working_set(V.events(s, d, "root", "ts", "op", "path", "delta")), _ago("3 days"))
 
 
 @query
 def working_set_hubs(s, d):
-    return A.working_hubs(A.working_set(V.events(s, d)), _hot_counts(s, d))
+    return A.working_hubs(A.working_set(V.events(s, d, "root", "ts", "op", "path", "delta")), _hot_counts(s, d))
 
 
 @query
 def debounce_batch(s, d):
-    return A.debounced(V.events(s, d), 2_000_000)
+    return A.debounced(V.events(s, d, "root", "ts", "op", "path"), 2_000_000)
 
 
 @query
 def unchanged_writes(s, d):
-    return A.unchanged(V.events(s, d))
+    return A.unchanged(V.events(s, d, "root", "ts", "op", "path", "lines", "size"))
 
 
 @query
 def stateful_delta(s, d):
-    return A.deltas(V.events(s, d))
+    return A.deltas(V.events(s, d, "root", "ts", "op", "path", "lines", "size"))
 
 
 @query
 def related_hot(s, d):
-    # files of one directory are taken to be connected
-    e = V.events(s, d)
-    pairs = e.select("root", "path").distinct().withColumn("dir", dir_name(F.col("path")))
-    near = pairs.select("dir", F.col("path")).distinct()
-    connected = near.join(near.withColumnRenamed("path", "other"), "dir").filter(F.col("path") != F.col("other")).select("path", "other").distinct()
-    return A.related_hot(e, connected, 300_000_000)
+    # reports and events share no paths here: a file is taken to import the one before it in its directory
+    e = V.events(s, d, "root", "ts", "op", "path")
+    files = e.select("root", "path").distinct().withColumn("dir", dir_name(F.col("path")))
+    edges = with_previous(files, ["root", "dir"], ["path"], ["path"]).filter("has_prev").select("root", F.col("path").alias("src"), F.col("prev_path").alias("dst"))
+    return A.related_hot(e, graph.connected(edges, ["root"]), 300_000_000)
 
 
 @query
 def event_enrichment(s, d):
-    return A.enriched(V.events(s, d), graph.degrees(V.edges(s, d)))
+    return A.enriched(V.events(s, d, "root", "path"), graph.degrees(V.edges(s, d)))
 
 
 @query
 def control_sessions(s, d):
-    return A.bursts(V.events(s, d), 2_000_000)
+    return A.bursts(V.events(s, d, "root", "ts", "op"), 2_000_000)
 
 
 @query
@@ -375,12 +374,12 @@ def log_byte_trim(s, d):
 
 @query
 def last_operation(s, d):
-    return A.last_operation(V.events(s, d), V.files(s, d))
+    return A.last_operation(V.events(s, d, "root", "ts", "op", "path"), V.files(s, d, "size"))
 
 
 @query
 def event_gaps(s, d):
-    return A.gaps(V.events(s, d))
+    return A.gaps(V.events(s, d, "root", "ts"))
 
 
 # requests
@@ -406,7 +405,7 @@ def _mentioned(s, d):
 
 
 def _hot_counts(s, d):
-    return V.events(s, d).groupBy("path").agg(F.count_distinct("root").alias("importers"))
+    return V.events(s, d, "root", "path").groupBy("path").agg(F.count_distinct("root").alias("importers"))
 
 
 @query
@@ -552,7 +551,7 @@ def handoff_guidance(s, d):
 
 
 def _code(s, d):
-    return V.files(s, d).select("file_id", "root", "path").join(V.contents(s, d), "file_id")
+    return V.files(s, d, "size").select("file_id", "root", "path").join(V.contents(s, d), "file_id")
 
 
 @query

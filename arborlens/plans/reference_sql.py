@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborlens.functions.dims import CODE_EXTENSIONS, CODE_NAMES, EXTENSIONS, FAMILIES, IGNORED, LADDER, SIGNALS, STATUSES
+from arborlens.functions.dims import ASSETS, CODE_EXTENSIONS, CODE_NAMES, EXTENSIONS, FAMILIES, IGNORED, LADDER, SIGNALS, STATUSES
 from arborlens.functions.extract import FUNCTIONS, IMPORTS
 from arborlens.operators.handoff import BINARY
 from arborlens.plans.problems_sql import plain
@@ -76,6 +76,7 @@ _LINE = """concat_ws(' | ', strftime(ts, '%Y-%m-%d %H:%M:%S'), op || repeat(' ',
   lpad(CASE WHEN delta > 0 THEN '+' || delta WHEN delta < 0 THEN '' || delta ELSE '' END, 6, ' '), CASE WHEN dirty THEN 'dirty' ELSE '' END)"""
 
 _NOT_IGNORED = f"NOT list_has_any(string_split(path, '/'), [{_list(IGNORED)}])"
+_NO_ASSET = f"ext <> '' AND lower(ext) NOT IN ({_list(ASSETS)})"
 _EXT_BARE = "lower(regexp_replace(ext, '^\\.', ''))"
 
 
@@ -143,7 +144,7 @@ SQL = {
     "displayed_subgraph": f"WITH {_EDGES}, {_CHANGED} SELECT src, dst FROM edges WHERE src IN (FROM changed) AND dst IN (FROM changed)",
     "changed_files_annotated": f"WITH {_FILES} SELECT file_id, size, ext, is_new, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed FROM f WHERE coalesce(added, 0) + coalesce(removed, 0) > 20",
     "changed_semi": f"WITH {_FILES} SELECT file_id, root, path FROM f WHERE coalesce(added, 0) + coalesce(removed, 0) > 20",
-    "impact_by_basename": f"""WITH {_CHANGED}, used AS (SELECT file AS path, unnest(imports) AS spec FROM importers_report),
+    "impact_by_basename": f"""WITH {_CHANGED}, used AS (SELECT {plain("file", "root")} AS path, unnest(imports) AS spec FROM importers_report),
       k AS (SELECT path, regexp_replace({_base("spec")}, '\\.[^.]*$', '') AS k FROM used WHERE path IS NOT NULL AND spec IS NOT NULL),
       bases AS (SELECT regexp_replace({_base("path")}, '\\.[^.]*$', '') AS k, max(path) AS target FROM changed GROUP BY 1),
       dirs AS (SELECT {_base("d")} AS k, arg_min(d, path) AS target FROM (SELECT path, {_dir("path")} AS d FROM changed) WHERE d <> '' GROUP BY 1),
@@ -174,8 +175,8 @@ SQL = {
     "dir_homogeneous_ext": f"WITH {_FILES} SELECT root, {_dir('path')} AS dir, count(*) AS files, min(ext) AS ext FROM f GROUP BY 1, 2 HAVING count(*) > 1 AND min(ext) = max(ext)",
     "tree_totals": f"WITH {_FILES} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed FROM f",
     "top_extensions": f"WITH {_FILES} SELECT ext, count(*) AS files FROM f WHERE ext <> '' GROUP BY ext ORDER BY files DESC, ext LIMIT 5",
-    "top_large_files": f"WITH {_FILES} SELECT root || '/' || path AS path, size FROM f WHERE size IS NOT NULL AND {_language('path')} IS NOT NULL ORDER BY size DESC, 1 LIMIT 5",
-    "top_large_files_per_root": f"WITH {_FILES} SELECT root, CAST(row_number() OVER (PARTITION BY root ORDER BY size DESC, path) AS INT) AS nth, path, size FROM f WHERE size IS NOT NULL AND {_language('path')} IS NOT NULL QUALIFY nth <= 5",
+    "top_large_files": f"WITH {_FILES} SELECT root || '/' || path AS path, size FROM f WHERE size IS NOT NULL AND {_NO_ASSET} ORDER BY size DESC, 1 LIMIT 5",
+    "top_large_files_per_root": f"WITH {_FILES} SELECT root, CAST(row_number() OVER (PARTITION BY root ORDER BY size DESC, path) AS INT) AS nth, path, size FROM f WHERE size IS NOT NULL AND {_NO_ASSET} QUALIFY nth <= 5",
     "ext_aggregate": f"WITH {_FILES} SELECT CASE WHEN ext <> '' THEN lower(ext) ELSE {_base('path')} END AS ext, count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM f GROUP BY 1",
     "skyline_heights": f"WITH {_FILES}, {_CODE} SELECT * FROM sky",
     "skyline_arranged": f"""WITH {_FILES}, {_CODE}, n AS (SELECT *, row_number() OVER (ORDER BY height DESC, bytes DESC, ext) - 1 AS nth FROM sky)
@@ -217,8 +218,10 @@ SQL = {
       SELECT root, path, event_id, CAST(CASE WHEN l IS NULL THEN 0 ELSE l - coalesce(last_value(l IGNORE NULLS) OVER w, 0) END AS BIGINT) AS line_delta,
         CAST(CASE WHEN z IS NULL THEN 0 ELSE z - coalesce(last_value(z IGNORE NULLS) OVER w, 0) END AS BIGINT) AS size_delta
       FROM s WINDOW w AS (PARTITION BY root, path ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
-    "related_hot": f"""WITH {_EVENTS}, q AS (SELECT *, {_dir("path")} AS dir FROM e)
-      SELECT DISTINCT a.event_id, b.path AS other FROM q a JOIN q b ON a.root = b.root AND a.dir = b.dir AND a.path <> b.path AND b.op IN ('CREATE', 'WRITE') AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 5 MINUTE""",
+    "related_hot": f"""WITH {_EVENTS}, p AS (SELECT DISTINCT root, {_dir("path")} AS dir, path FROM e), n AS (SELECT root, path, lag(path) OVER (PARTITION BY root, dir ORDER BY path) AS other FROM p),
+      near AS (SELECT * FROM n WHERE other IS NOT NULL UNION SELECT root, other, path FROM n WHERE other IS NOT NULL)
+      SELECT DISTINCT a.event_id, c.other FROM e a JOIN near c ON c.root = a.root AND c.path = a.path JOIN e b ON b.root = c.root AND b.path = c.other
+      WHERE b.op IN ('CREATE', 'WRITE') AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 5 MINUTE""",
     "event_enrichment": f"WITH {_EVENTS}, {_EDGES}, {_DEGREE} SELECT event_id, coalesce(importers, 0) AS importers, coalesce(imports, 0) AS imports, coalesce(importers, 0) >= 3 AS is_hub FROM e LEFT JOIN degree USING (path)",
     "control_sessions": f"""WITH {_EVENTS}, m AS (SELECT root, ts, op, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 SECOND THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY root ORDER BY ts)),
       n AS (SELECT *, sum(fresh) OVER (PARTITION BY root ORDER BY ts) AS s FROM m) SELECT root, min(ts) AS began, count(*) AS events, bool_or(op = 'REMOVE') AS removed FROM n GROUP BY root, s""",
@@ -268,7 +271,7 @@ SQL = {
       u AS (SELECT id, list_filter(l, lambda x, k: list_position(l, x) = k)[:2] AS l FROM s)
       SELECT id, CAST(unnest(generate_series(1, len(l))) AS INT) AS nth, unnest(l) AS step FROM u""",
     "coverage_fold": """WITH r AS (SELECT DISTINCT root, report_id, CASE coverage_status WHEN 'complete' THEN 'authoritative' WHEN 'partial' THEN 'mixed' ELSE 'timeout' END AS status FROM importers_report WHERE coverage_status IS NOT NULL),
-      n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY report_id, status) AS nth FROM r QUALIFY nth <= 5), l AS (SELECT root, list(status ORDER BY nth) AS l FROM n GROUP BY root)
+      n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY report_id, status) AS nth FROM r), l AS (SELECT root, list(status ORDER BY nth) AS l FROM n GROUP BY root)
       SELECT root, split_part(list_reduce(list_prepend('|', list_transform(l, lambda x: x)), lambda s, x: CASE
         WHEN x = 'authoritative' THEN CASE WHEN split_part(s, '|', 1) = 'unavailable' THEN 'partial' ELSE split_part(s, '|', 1) END || '|u' WHEN x = 'mixed' THEN 'partial|u'
         WHEN split_part(s, '|', 2) = 'u' THEN 'partial|u' ELSE 'unavailable|' END), '|', 1) AS status FROM l""",
@@ -276,7 +279,7 @@ SQL = {
       SELECT artifact_id, array_to_string(list_filter([CASE WHEN r > 0 THEN 'review dependents of files at risk' END, CASE WHEN c > 0 THEN 'run tests of changed files' END], lambda x: x IS NOT NULL), '; ') AS next_steps,
         array_to_string(list_filter([CASE WHEN c = 0 THEN 'no changes found: are base and branch right?' END, CASE WHEN NOT s THEN 'no live state: events may be missing' END, CASE WHEN NOT g THEN 'no import graph: files at risk may be missing' END,
           CASE WHEN e = 0 AND s THEN 'no recent events' END], lambda x: x IS NOT NULL), '; ') AS open_questions FROM a""",
-    "doc_drift": """WITH newest AS (SELECT written_at, delta.changed AS changed FROM handoff_artifact ORDER BY written_at DESC, artifact_id LIMIT 200),
+    "doc_drift": """WITH newest AS (SELECT written_at, delta.changed AS changed FROM handoff_artifact WHERE written_at IN (SELECT DISTINCT written_at FROM handoff_artifact WHERE written_at IS NOT NULL ORDER BY written_at DESC LIMIT 200)),
       touched AS (SELECT DISTINCT written_at, c.path AS path FROM (SELECT written_at, unnest(changed) AS c FROM newest) WHERE c.path IS NOT NULL),
       pos AS (SELECT written_at, row_number() OVER (ORDER BY written_at DESC) - 1 AS pos FROM (SELECT DISTINCT written_at FROM newest)),
       dirs AS (SELECT pos, path AS p FROM touched JOIN pos USING (written_at) UNION ALL
@@ -288,5 +291,5 @@ SQL = {
       k AS (SELECT file_id, unnest(generate_series(1, len(l))) AS line_no, unnest(l) AS line FROM c), s AS (SELECT file_id, regexp_replace({_base("path")}, '\\.[^.]*$', '') AS stem FROM f),
       t AS (SELECT file_id, 0 AS r, stem AS term FROM s WHERE stem <> '' UNION ALL SELECT file_id, 1, regexp_extract(stem, '^[A-Za-z]+') FROM s WHERE regexp_extract(stem, '^[A-Za-z]+') <> ''),
       h AS (SELECT file_id, r, line_no, line FROM t JOIN k USING (file_id) WHERE CASE WHEN r = 0 THEN regexp_matches(line, '\\b' || regexp_replace(term, '([^A-Za-z0-9_])', '\\\\\\1', 'g') || '\\b') ELSE contains(line, term) END)
-      SELECT file_id AS seq, file_id AS path, file_id AS via, CAST(arg_min(line_no, (r, line_no)) AS INT) AS line_no, arg_min(line, (r, line_no)) AS line FROM h GROUP BY file_id ORDER BY file_id LIMIT 200""",
+      SELECT file_id AS seq, file_id AS path, file_id AS via, CAST(arg_min(line_no, (r, line_no)) AS INT) AS line_no, arg_min(line, (r, line_no)) AS line FROM h GROUP BY file_id""",
 }

@@ -16,12 +16,16 @@ CHANGED_SINCE = "2016-01-25 00:00:00"
 NOW = "2016-01-29 00:00:00"
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    """(file_id, root, path, size, ext, added, removed, is_new): a file scanned twice counts once, with its first path in order."""
+def files(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
+    """(file_id, root, path, size, added, removed, is_new, ext): a file scanned twice counts once, with its first path in order.
+
+    Of ``wanted`` columns beside the path no other is read or shuffled.
+    """
     raw = table(spark, d, "files").filter(F.col("file_id").isNotNull())
-    cols = ["path", "root", "size", "added", "removed", "is_new"]
-    one = raw.groupBy("file_id").agg(F.min(F.struct(*cols)).alias("f")).select("file_id", "f.*")
-    return one.select("file_id", "root", plain_path(F.col("path"), F.col("root")).alias("path"), "size", "added", "removed", F.coalesce("is_new", F.lit(False)).alias("is_new")).withColumn("ext", extension(F.col("path")))
+    wanted = wanted or ("size", "added", "removed", "is_new")
+    one = raw.groupBy("file_id").agg(F.min(F.struct("path", "root", *wanted)).alias("f")).select("file_id", "f.*")
+    rest = [F.coalesce(c, F.lit(False)).alias(c) if c == "is_new" else F.col(c) for c in wanted]
+    return one.select("file_id", "root", plain_path(F.col("path"), F.col("root")).alias("path"), *rest).withColumn("ext", extension(F.col("path")))
 
 
 def contents(spark: SparkSession, d: str) -> DataFrame:
@@ -43,12 +47,14 @@ def changed(spark: SparkSession, d: str) -> DataFrame:
     return raw.select(plain_path(F.col("file"), F.col("root")).alias("path")).dropna().distinct()
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    """The sound events, each once."""
+def events(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
+    """The sound events, each once, as first received; of ``wanted`` columns no other is read or shuffled."""
     raw = with_sound_op(table(spark, d, "fs_events"))
-    cols = ["received_at", "root", "ts", "op", "path", "lines", "size", "delta", "dirty"]
+    wanted = wanted or ("root", "ts", "op", "path", "lines", "size", "delta", "dirty")
+    cols = ["received_at", "root", *(c for c in wanted if c != "root")] if "path" in wanted else ["received_at", *wanted]
     one = raw.groupBy("event_id").agg(F.min(F.struct(*cols)).alias("e")).select("event_id", "e.*")
-    return one.withColumn("path", plain_path(F.col("path"), F.col("root"))).drop("received_at")
+    one = one.withColumn("path", plain_path(F.col("path"), F.col("root"))) if "path" in wanted else one
+    return one.select("event_id", *wanted)
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
