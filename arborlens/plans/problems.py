@@ -10,9 +10,8 @@ from arborlens.operators.events import agents, with_sound_op
 from arborlens.operators.heavy import distinct_members, heavy_keys
 from arborlens.operators.inline import flatten, latest
 from arborlens.operators.runs import collapse_runs
-from arborlens.operators.schemas import conform, schema_changes
+from arborlens.operators.schemas import conform, file_scripts, schema_changes
 from arborlens.operators.sessions import sessionize
-from arborlens.scratch import cut
 from arborlens.tables import table
 
 #: A repeated event follows within so many microseconds, and its delta differs by so much at most.
@@ -86,12 +85,11 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
     # records without an id are told apart by all they hold; when they were loaded is not part of it
     whole = F.when(F.col("record_id").isNull(), F.struct(*[c for c in raw.columns if c != "loaded_at"]))
     raw = raw.withColumn("__whole", whole).dropDuplicates(["record_id", "__whole"]).drop("__whole")
-    changes = cut(schema_changes(raw, *_RAW, moves=True), "changes")
-    one = conform(raw, changes, *_RAW, keep=["record_id"])
+    one = conform(raw, file_scripts(raw, *_RAW, moves=True), "lineage", "file_name", "payload", keep=["record_id"])
     get = lambda name: F.col("fields")[name]
     return one.select(
         "record_id", "lineage", "file_name", get("schema_version").alias("schema_version"), get("root").alias("root"), get("branch").alias("branch"), get("base_ref").alias("base_ref"), get("generated_at").alias("generated_at"),
-        get("prefix.file_count").alias("file_count"), get("changed_files").alias("changed_files"), get("delta.changed").alias("delta_changed"), F.to_json("fields").alias("fields"),
+        get("prefix.file_count").alias("file_count"), get("changed_files").alias("changed_files"), get("delta.changed").alias("delta_changed"), F.to_json("fields").alias("fields"), F.to_json("conflicts").alias("conflicts"),
     )
 
 

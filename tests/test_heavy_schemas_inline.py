@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from arborlens.operators.events import agents
 from arborlens.operators.heavy import distinct_members, heavy_keys
 from arborlens.operators.inline import flatten, latest
-from arborlens.operators.schemas import conform, edit_script, parts, schema_changes, typed_paths
+from arborlens.operators.schemas import conform, edit_script, file_scripts, parts, schema_changes, typed_paths
 
 T0 = datetime(2024, 1, 1)
 
@@ -68,8 +68,8 @@ def test_one_table_with_first_names(spark):
         ("L", "f4", h(4), json.dumps({"name": "4", "c": [{"q": "c"}]})), ("L", "f4", h(4), "{"),
     ]
     df = raw(spark, rows)
-    changes = schema_changes(df, "lineage", "file_name", "file_written_at", "payload")
-    got = {x["file_name"]: dict(x["fields"]) for x in conform(df, changes, "lineage", "file_name", "file_written_at", "payload", ["record_id"]).collect()}
+    changes = file_scripts(df, "lineage", "file_name", "file_written_at", "payload")
+    got = {x["file_name"]: dict(x["fields"]) for x in conform(df, changes, "lineage", "file_name", "payload", ["record_id"]).collect()}
     assert [got[f].get("v") for f in ("f1", "f2")] == ["1", "2"]
     # a rename that also changes the type is a removal and an addition, and stays apart
     assert got["f3"]["version"] == "3" and got["f4"]["version"] == "4"
@@ -78,8 +78,8 @@ def test_one_table_with_first_names(spark):
 
 def test_empty_schemas(spark):
     df = raw(spark, [])
-    changes = schema_changes(df, "lineage", "file_name", "file_written_at", "payload")
-    assert changes.count() == 0 and conform(df, changes, "lineage", "file_name", "file_written_at", "payload", []).count() == 0
+    changes = file_scripts(df, "lineage", "file_name", "file_written_at", "payload")
+    assert changes.count() == 0 and conform(df, changes, "lineage", "file_name", "payload", []).count() == 0
 
 
 HISTORY = [
