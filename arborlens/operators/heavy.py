@@ -1,9 +1,10 @@
 """Results for every key where a few keys hold most rows.
 
-Rows are range partitioned on (key, member) by sampled quantiles: a heavy key's members are spread over as
-many partitions as its share of the rows asks for, and equal pairs stay together, so distinctness needs no
-further exchange. Each partition then holds one partial state of a key; where a key crosses an edge
-between partitions, its states are stitched by a last aggregation over one row a key and partition.
+Rows are first combined to one state a (key, member), in each task before anything is shuffled, so that a pair that
+holds most rows costs one row a task. The states are range partitioned on (key, member) by sampled quantiles: a
+heavy key's members lie in as many partitions as its share of the pairs asks for. Each partition then holds one
+partial state of a key; where a key crosses an edge between partitions, its states are stitched by a last aggregation
+over one row a key and partition.
 """
 
 from __future__ import annotations
@@ -14,6 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def pair_ranges(rows: DataFrame, key: Sequence[str], member: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(key, member, rows, extra): one state a pair, in ranges of (key, member) of about equal numbers of pairs.
+
+    What is computed for the pairs is shuffled once, so that the sampling of the bounds does not compute it again.
+    """
+    pairs = rows.groupBy(*key, member).agg(F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (extra or {}).items()])
+    return pairs.repartitionByRange(*[F.col(k) for k in key], F.col(member))
+
+
 def distinct_members(rows: DataFrame, key: Sequence[str], member: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """(key, rows, members): of each key its rows and its distinct non-null members.
 
@@ -23,9 +33,7 @@ def distinct_members(rows: DataFrame, key: Sequence[str], member: str, extra: di
     the bounds of the ranges, and these do not change the result.
     """
     extra = extra or {}
-    spread = rows.repartitionByRange(*[F.col(k) for k in key], F.col(member))
-    pairs = spread.groupBy(*key, member).agg(F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in extra.items()])
-    return pairs.groupBy(*key).agg(F.sum("rows").alias("rows"), F.count(member).alias("members"), *[F.max(n).alias(n) for n in extra])
+    return pair_ranges(rows, key, member, extra).groupBy(*key).agg(F.sum("rows").alias("rows"), F.count(member).alias("members"), *[F.max(n).alias(n) for n in extra])
 
 
 def heavy_keys(rows: DataFrame, key: Sequence[str], member: str, share: float) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from arborlens.operators.events import agents
-from arborlens.operators.heavy import distinct_members, heavy_keys
+from arborlens.operators.heavy import distinct_members, heavy_keys, pair_ranges
 from arborlens.operators.inline import flatten, latest
 from arborlens.operators.schemas import conform, edit_script, file_scripts, parts, schema_changes, typed_paths
 
@@ -28,6 +28,17 @@ def test_heavy_share_counts_pairs(spark):
     assert heavy_keys(spark.createDataFrame([], "k string, m string"), ["k"], "m", 0.01).count() == 0
 
 
+def test_hot_pairs_and_null_members_are_spread(spark):
+    # one pair has 99 % of all rows, a null member half of the rest
+    rows = spark.range(200_000).selectExpr("if(id % 100 > 0, 'hot', concat('k', id % 7)) as k", "case when id % 100 > 0 then 'one' when id % 200 = 0 then null else cast(id as string) end as m")
+    more = spark.range(3000).selectExpr("'hot' as k", "cast(id as string) as m")
+    spread = pair_ranges(rows.unionByName(more), ["k"], "m")
+    sizes = [r["n"] for r in spread.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes), sizes
+    got = {r["k"]: (r["rows"], r["members"]) for r in distinct_members(rows.unionByName(more), ["k"], "m").collect()}
+    assert got["hot"] == (201_000, 3001) and sum(r for r, _ in got.values()) == 203_000
+
+
 def test_edit_scripts():
     s = lambda v: {p: t for p, t in typed_paths(v)}
     assert edit_script(s({"a": 1, "b": "x"}), s({"a": "1", "c": "x"})) == [("renamed", "b", "c"), ("retyped", "a", "a")]
