@@ -12,6 +12,7 @@ from arborlens.operators.inline import flatten, latest
 from arborlens.operators.runs import collapse_runs
 from arborlens.operators.schemas import conform, file_scripts, schema_changes
 from arborlens.operators.sessions import sessionize
+from arborlens.scratch import cut
 from arborlens.tables import table
 
 #: A repeated event follows within so many microseconds, and its delta differs by so much at most.
@@ -96,7 +97,8 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
 def artifact_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The hand-off artifacts, last version of each, as flat tables."""
     newest = latest(table(spark, d, "handoff_artifact"), ["artifact_id"], ["written_at"])
-    return flatten(newest.withColumn("agent_history", agents(F.col("agent_history"))), ["artifact_id"], "artifact")
+    # a table, so that versions are compared and histories parsed once for all tables
+    return flatten(cut(newest.withColumn("agent_history", agents(F.col("agent_history"))), "artifacts"), ["artifact_id"], "artifact")
 
 
 #: The column that identifies an element in each child table.

@@ -122,6 +122,23 @@ def test_inlining_sharing_and_clashes(spark):
     assert [tuple(x) for x in t["rec_items"].select("id", "pos", "value").collect()] == [(1, 0, "t")]
 
 
+def test_shared_structs_have_one_table(spark):
+    who = "struct<name:string,at:struct<city:string>,tags:array<string>>"
+    schema = f"id int, author {who}, reviews array<struct<stars:int,author:{who}>>, only struct<x:int>, `only.x` int"
+    rows = [(1, ("ann", ("oslo",), ["t"]), [(5, ("bob", None, None)), (4, None)], (7,), 8), (2, None, [(3, ("eve", ("rome",), []))], None, None)]
+    t = flatten(spark.createDataFrame(rows, schema), ["id"], "rec")
+    assert set(t) == {"rec", "author", "reviews", "tags"} and set(t["rec"].columns) == {"id", "only.x", "only.x_"}
+    got = {tuple(r) for r in t["author"].select("id", "parent_table", "outer_pos", "pos", "name", "`at.city`").collect()}
+    assert got == {(1, "rec", -1, 0, "ann", "oslo"), (1, "reviews", 0, 0, "bob", None), (2, "reviews", 0, 0, "eve", "rome")}
+    assert [tuple(r) for r in t["tags"].select("id", "parent_table", "outer_pos", "pos", "value").collect()] == [(1, "author", 0, 0, "t")]
+
+
+def test_three_shapes_of_one_name(spark):
+    schema = "id int, a struct<l:array<int>,m:struct<l:array<string>>,n:struct<l:array<boolean>>>"
+    t = flatten(spark.createDataFrame([(1, ([1], (["x"],), ([True],)))], schema), ["id"], "rec")
+    assert {n: [r["value"] for r in f.collect()] for n, f in t.items() if n != "rec"} == {"l": [1], "rec_l": ["x"], "rec_l_2": [True]}
+
+
 def test_latest_version(spark):
     rows = [(1, T0, "old"), (1, T0 + timedelta(1), "new"), (1, None, "none"), (2, None, "only"), (None, T0, "x"), (1, T0 + timedelta(1), "new")]
     got = {x["id"]: x["v"] for x in latest(spark.createDataFrame(rows, "id int, at timestamp, v string"), ["id"], ["at"]).collect()}
