@@ -22,6 +22,7 @@ import re
 import sys
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ def read_json(text: str | None):
     return value if isinstance(value, dict) else None
 
 
+@lru_cache(maxsize=65_536)
 def escaped(name: str) -> str:
     """A name as one step of a path."""
     if not name:
