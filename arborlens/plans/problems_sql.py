@@ -14,7 +14,8 @@ def plain(path: str, root: str) -> str:
     return s
 
 
-_SOUND = f"""
+#: The sound events, each once.
+SOUND = f"""
 SELECT DISTINCT ON (event_id) event_id, root, ts, upper(regexp_replace(op, '^\\s+|\\s+$', '', 'g')) AS op,
   {plain("path", "root")} AS path, coalesce(delta, 0) AS delta
 FROM fs_events
@@ -23,7 +24,7 @@ ORDER BY event_id, received_at
 """
 
 _RUNS = f"""
-WITH sound AS ({_SOUND}),
+WITH sound AS ({SOUND}),
 marked AS (
   SELECT *, CASE WHEN lag(op) OVER w = op AND lag(path) OVER w IS NOT DISTINCT FROM path
     AND abs(delta - lag(delta) OVER w) <= 1 AND ts - lag(ts) OVER w <= INTERVAL 10 SECOND THEN 0 ELSE 1 END AS fresh
@@ -36,7 +37,7 @@ runs AS (
 """
 
 _SESSIONS = f"""
-WITH sound AS ({_SOUND}),
+WITH sound AS ({SOUND}),
 marked AS (
   SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh
   FROM sound WINDOW w AS (PARTITION BY root ORDER BY ts, event_id)),

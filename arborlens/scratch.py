@@ -8,6 +8,7 @@ use) a temporary one is set. What an application wrote is deleted when its Pytho
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for tables that are written on the way."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="arborlens-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -39,15 +40,28 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     if not _written:
         atexit.register(clear)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_written_at"] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` returned and nothing reads any more, such as those of a past round."""
+    gone = {t.__dict__.get("_written_at") for t in tables}
+    for entry in [e for e in _written if e[1] in gone]:
+        _written.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone already
+        pass
 
 
 def clear() -> None:
     """Delete every table that :func:`cut` wrote in this process."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            pass
+        _delete(*_written.pop())
