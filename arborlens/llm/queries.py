@@ -1,14 +1,38 @@
-"""The queries on text corpora."""
+"""The queries on repeated events and on text corpora."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlens.functions.paths import plain_path
 from arborlens.llm import authored, language, leaks, packing
+from arborlens.llm.runs import collapse_runs
+from arborlens.operators.events import with_sound_op
 from arborlens.tables import table
 
 
+#: A repeated event follows within so many microseconds, and its delta differs by so much at most.
+RUN_GAP_US, RUN_DELTA = 10_000_000, 1
+
+
+def _runs(spark: SparkSession, d: str, least: int) -> DataFrame:
+    events = with_sound_op(table(spark, d, "fs_events").select("event_id", "root", "ts", "received_at", "op", "path", "delta"))
+    return collapse_runs(
+        events, key=["root"], time="ts", event_id="event_id", same=["op", "path"], near={"delta": RUN_DELTA}, max_gap_us=RUN_GAP_US,
+        tie=["received_at", "op", "path", "delta"], prepare=lambda df: df.withColumn("path", plain_path(F.col("path"), F.col("root"))), least=least,
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(spark, d, 2).select("root", "first_event_id", "last_event_id")
+
+
+def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """Every run, single events too, with its count and duration."""
+    return _runs(spark, d, 1)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return authored.classify(table(spark, d, "files"), table(spark, d, "contents")).filter(F.col("reason").isNotNull()).select("file_id")
 
@@ -52,4 +76,4 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(table(spark, d, "documents"), table(spark, d, "lang_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_written, p4_reasons, p7_packed, p7_fill, p8_found, p9_found, p9_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p4_found, p4_written, p4_reasons, p7_packed, p7_fill, p8_found, p9_found, p9_languages)}
