@@ -1,4 +1,4 @@
-"""The queries on repeated events, heavy keys, drifting schemas, sessions and nested records."""
+"""The queries on heavy keys, drifting schemas, sessions and nested records."""
 
 from __future__ import annotations
 
@@ -9,37 +9,17 @@ from arborlens.functions.paths import plain_path
 from arborlens.operators.events import agents, with_sound_op
 from arborlens.operators.heavy import distinct_members, heavy_keys
 from arborlens.operators.inline import flatten, latest
-from arborlens.operators.runs import collapse_runs
 from arborlens.operators.schemas import conform, file_scripts, schema_changes
 from arborlens.operators.sessions import sessionize
 from arborlens.scratch import cut
 from arborlens.tables import table
 
-#: A repeated event follows within so many microseconds, and its delta differs by so much at most.
-RUN_GAP_US, RUN_DELTA = 10_000_000, 1
 #: A session ends at a pause longer than this.
 SESSION_GAP_US = 30 * 60 * 1_000_000
 #: A file is heavy if it holds this share of all pairs.
 HEAVY_SHARE = 0.01
 
 
-def _runs(spark: SparkSession, d: str, least: int) -> DataFrame:
-    events = with_sound_op(table(spark, d, "fs_events").select("event_id", "root", "ts", "received_at", "op", "path", "delta"))
-    return collapse_runs(
-        events, key=["root"], time="ts", event_id="event_id", same=["op", "path"], near={"delta": RUN_DELTA}, max_gap_us=RUN_GAP_US,
-        tie=["received_at", "op", "path", "delta"], prepare=lambda df: df.withColumn("path", plain_path(F.col("path"), F.col("root"))), least=least,
-    )
-
-
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _runs(spark, d, 2).select("root", "first_event_id", "last_event_id")
-
-
-def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    """Every run, single events too, with its count and duration."""
-    return _runs(spark, d, 1)
-
-
 def _importer_pairs(spark: SparkSession, d: str) -> DataFrame:
     reports = table(spark, d, "importers_report").select("root", "file", "importers")
     # a report without importers keeps a null one, so that its file has a row
@@ -135,4 +115,4 @@ def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessionize(events, ["root"], "ts", "event_id", SESSION_GAP_US)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_importers, p2_snapshots, p3_found, p3_moves, p3_table, p5_found, p5_sessions, p6_found, p6_artifacts, p6_edits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_importers, p2_snapshots, p3_found, p3_moves, p3_table, p5_found, p5_sessions, p6_found, p6_artifacts, p6_edits)}

@@ -23,19 +23,6 @@ WHERE ts IS NOT NULL AND upper(regexp_replace(op, '^\\s+|\\s+$', '', 'g')) IN ('
 ORDER BY event_id, received_at
 """
 
-_RUNS = f"""
-WITH sound AS ({SOUND}),
-marked AS (
-  SELECT *, CASE WHEN lag(op) OVER w = op AND lag(path) OVER w IS NOT DISTINCT FROM path
-    AND abs(delta - lag(delta) OVER w) <= 1 AND ts - lag(ts) OVER w <= INTERVAL 10 SECOND THEN 0 ELSE 1 END AS fresh
-  FROM sound WINDOW w AS (PARTITION BY root ORDER BY ts, event_id)),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY root ORDER BY ts, event_id) AS run FROM marked),
-runs AS (
-  SELECT root, op, path, arg_min(event_id, (ts, event_id)) AS first_event_id, arg_max(event_id, (ts, event_id)) AS last_event_id,
-    count(*) AS events, min(ts) AS started_at, max(ts) AS ended_at, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us
-  FROM numbered GROUP BY root, run, op, path)
-"""
-
 _SESSIONS = f"""
 WITH sound AS ({SOUND}),
 marked AS (
@@ -104,8 +91,6 @@ _CHILDREN = " UNION ALL ".join(
 )
 
 SQL = {
-    "p1_found": f"{_RUNS} SELECT root, first_event_id, last_event_id FROM runs WHERE events > 1",
-    "p1_collapsed": f"{_RUNS} SELECT root, op, path, first_event_id, last_event_id, events, started_at, ended_at, duration_us FROM runs",
     "p2_found": f"""WITH {_IMPORTERS}, {_HUBS}, spairs AS (SELECT DISTINCT path, snapshot_id FROM hubs WHERE snapshot_id IS NOT NULL)
       SELECT 'importers_report' AS origin, path FROM pairs WHERE importer IS NOT NULL GROUP BY path
         HAVING count(*) >= 0.01 * (SELECT count(*) FROM pairs WHERE importer IS NOT NULL)

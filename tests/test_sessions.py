@@ -1,4 +1,4 @@
-"""Runs, sessions and previous rows against a plain walk over ordered events."""
+"""Sessions and previous rows against a plain walk over ordered events."""
 
 import random
 from datetime import datetime, timedelta
@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from arborlens.operators import runs as R
 from arborlens.operators.ranged import with_previous
 from arborlens.operators.sessions import Open, Timer, sessionize
 
@@ -33,21 +32,6 @@ def ordered(rows):
     return {k: sorted(v, key=lambda e: (e[2], e[0])) for k, v in by.items()}
 
 
-def plain_runs(rows, least):
-    out = set()
-    for root, es in ordered(rows).items():
-        run = [es[0]]
-        for a, b in zip(es, es[1:]):
-            again = a[3] == b[3] and a[4] == b[4] and abs((a[5] or 0) - (b[5] or 0)) <= 1 and b[2] - a[2] <= timedelta(seconds=10)
-            if again:
-                run.append(b)
-            else:
-                out.add((root, run[0][0], run[-1][0], len(run)))
-                run = [b]
-        out.add((root, run[0][0], run[-1][0], len(run)))
-    return {x for x in out if x[3] >= least}
-
-
 def plain_sessions(rows, gap):
     out = set()
     for root, es in ordered(rows).items():
@@ -61,39 +45,6 @@ def plain_sessions(rows, gap):
     return out
 
 
-def collapsed(spark, rows, least=1):
-    df = R.collapse_runs(spark.createDataFrame(rows, SCHEMA), ["root"], "ts", "event_id", ["op", "path"], {"delta": 1}, 10_000_000, least=least)
-    got = df.collect()
-    assert all(x["duration_us"] == (x["ended_at"] - x["started_at"]) / timedelta(microseconds=1) for x in got)
-    return sorted(((x["root"], x["first_event_id"], x["last_event_id"], x["events"]) for x in got), key=str)
-
-
-@pytest.mark.parametrize("seed,block", [(1, 8192), (2, 7), (3, 1), (4, 2)])
-@pytest.mark.parametrize("least", [1, 2])
-def test_runs_equal_a_plain_walk(spark, monkeypatch, seed, block, least):
-    monkeypatch.setattr(R, "BLOCK", block)
-    rows = events(seed, 400)
-    assert collapsed(spark, rows, least) == sorted(plain_runs(rows, least), key=str)
-
-
-def test_one_run_over_all_partitions(spark, monkeypatch):
-    """Every event repeats the one before, so pointers are doubled over many parts and all edges."""
-    monkeypatch.setattr(R, "BLOCK", 5)
-    rows = [(i, "hot", T0 + timedelta(seconds=i), "WRITE", "x", i % 2, "o", 1) for i in range(997)]
-    assert collapsed(spark, rows, 2) == [("hot", 0, 996, 997)]
-
-
-def test_runs_of_nothing(spark):
-    assert collapsed(spark, []) == []
-    assert collapsed(spark, [(1, None, None, None, None, None, None, None)]) == []
-    assert collapsed(spark, [(1, None, T0, None, None, None, None, None)]) == [(None, 1, 1, 1)]
-
-
-def test_ties_are_ordered_by_id(spark):
-    rows = [(i, "a", T0, "WRITE", "x" if i < 3 else "y", 0, "", 0) for i in (5, 1, 4, 2, 3)]
-    assert collapsed(spark, rows) == [("a", 1, 2, 2), ("a", 3, 5, 3)]
-
-
 @pytest.mark.parametrize("seed", [5, 6, 7])
 def test_sessions_equal_a_plain_walk(spark, seed):
     rows = events(seed, 500)
