@@ -12,6 +12,7 @@ from arborlens.operators.inline import flatten, latest
 from arborlens.operators.schemas import conform, file_scripts, schema_changes
 from arborlens.operators.sessions import sessionize
 from arborlens.scratch import cut
+from arborlens.streaming.sessions import drained
 from arborlens.tables import table
 
 #: A session ends at a pause longer than this.
@@ -115,4 +116,11 @@ def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessionize(events, ["root"], "ts", "event_id", SESSION_GAP_US)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_importers, p2_snapshots, p3_found, p3_moves, p3_table, p5_found, p5_sessions, p6_found, p6_artifacts, p6_edits)}
+def p5_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """As p5_found, by the stream with a timer a root; no event is received later than the latest that was."""
+    late = table(spark, d, "fs_events").agg(F.max(F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    lateness = max(late or 0, 0) + 60_000_000
+    return drained(spark, f"{d}/fs_events.parquet", "root", "ts", "event_id", SESSION_GAP_US, lateness).select("root", "first_event_id", "last_event_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_importers, p2_snapshots, p3_found, p3_moves, p3_table, p5_found, p5_sessions, p5_streamed, p6_found, p6_artifacts, p6_edits)}

@@ -102,6 +102,7 @@ SQL = {
     "p3_found": f"WITH {_TREES}",
     "p5_found": f"{_SESSIONS} SELECT root, first_event_id, last_event_id FROM sessions",
     "p5_sessions": f"{_SESSIONS} SELECT root, first_event_id, last_event_id, started_at, ended_at, duration_us, events FROM sessions",
+    "p5_streamed": f"{_SESSIONS} SELECT root, first_event_id, last_event_id FROM sessions",
     "p6_found": f"""WITH {_ARTIFACTS} {_CHILDREN}
       UNION ALL SELECT artifact_id, 'agent_history', -1, pos, e->>'agent_id' FROM agents
       UNION ALL SELECT artifact_id, 'files_edited', outer_pos, pos, CASE WHEN json_type(x) = 'OBJECT' THEN x->>'path' ELSE x->>'$' END FROM files1 WHERE json_type(x) <> 'NULL'""",

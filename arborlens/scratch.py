@@ -28,6 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted with the others."""
+    path = f"{shared_folder(spark)}/arborlens/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clear)
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and return the table, whose lineage is that file.
 
@@ -35,11 +44,8 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     run again (range partitioning draws its bounds from a sample).
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/arborlens/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(clear)
-    _written.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table.__dict__["_written_at"] = path
     return table

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from arborlens.operators.events import with_sound_op
 GONE = ("REMOVE", "RENAME")
 
 
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype(np.int64)
+
+
 def read_events(spark: SparkSession, folder: str, schema: str, files_at_once: int = 16) -> DataFrame:
     """A folder of parquet files as a stream of sound events, a bounded number of files at a time."""
     return with_sound_op(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder))
@@ -26,27 +31,29 @@ def track_files(events: DataFrame, window_us: int) -> DataFrame:
     ``window_us`` after that is skipped (its successor, or the end of the burst, speaks for it); exactly the
     window later is outside; other operations are never skipped and end a burst. Deltas are those of
     :func:`arborlens.operators.activity.deltas`. The state is three numbers a file and needs no timer: a
-    burst that is over is told by the gap before the next write.
+    burst that is over is told by the gap before the next write. A removed file has no state.
     ``events``: root, path, event_id, ts, op, lines, size.
     """
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
         lines, size, wrote = state.get if state.exists else (0, 0, None)
         f = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, ts, op, n, s in zip(f["event_id"], f["ts"], f["op"], f["lines"], f["size"]):
-            us = int(pd.Timestamp(ts).value // 1000)
-            skipped = op == "WRITE" and wrote is not None and us - wrote < window_us
-            wrote = us if op == "WRITE" else None
-            if op in GONE:
-                n, s = 0, 0
-            elif pd.isna(n) and pd.isna(s):
-                out.append((event_id, ts, op, skipped, 0, 0))
-                continue
-            n, s = (0 if pd.isna(n) else int(n)), (0 if pd.isna(s) else int(s))
-            out.append((event_id, ts, op, skipped, n - lines, s - size))
-            lines, size = n, s
-        state.update((lines, size, wrote))
-        rows = pd.DataFrame(out, columns=["event_id", "ts", "op", "skipped", "line_delta", "size_delta"])
+        us, write, gone = _micros(f["ts"]), (f["op"] == "WRITE").to_numpy(), f["op"].isin(GONE).to_numpy()
+        before = np.append(us[:1] if wrote is None else wrote, us[:-1])
+        skipped = write & np.append(wrote is not None, write[:-1]) & (us - before < window_us)
+        told = gone | f["lines"].notna().to_numpy() | f["size"].notna().to_numpy()
+        out = {"event_id": f["event_id"], "ts": f["ts"], "op": f["op"], "skipped": skipped}
+        for column, known in (("lines", lines), ("size", size)):
+            now = np.where(gone, 0, f[column].fillna(0).to_numpy(np.int64))
+            # the last known value before each event: that of the last event that told one
+            at = np.maximum.accumulate(np.where(told, np.arange(len(f)), -1))
+            last = np.append(known, np.where(at < 0, known, now[at]))
+            out["line_delta" if column == "lines" else "size_delta"] = np.where(told, now - last[:-1], 0)
+            lines, size = (last[-1], size) if column == "lines" else (lines, last[-1])
+        if lines or size or write[-1]:
+            state.update((int(lines), int(size), int(us[-1]) if write[-1] else None))
+        elif state.exists:
+            state.remove()  # as a file that was never seen
+        rows = pd.DataFrame(out)
         rows.insert(0, "root", name[0])
         rows.insert(1, "path", name[1])
         yield rows
@@ -61,13 +68,16 @@ def working_set(events: DataFrame) -> DataFrame:
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
         first, last, edits, net = state.get if state.exists else (None, None, 0, 0)
         f = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for ts, op, d in zip(f["ts"], f["op"], f["delta"]):
-            us = int(pd.Timestamp(ts).value // 1000)
-            if op in GONE:
-                first, last, edits, net = None, None, 0, 0
-            else:
-                first, last, edits, net = (us if first is None else first), us, edits + 1, net + (0 if pd.isna(d) else int(d))
-        state.update((first, last, edits, net))
+        us, gone = _micros(f["ts"]), np.flatnonzero(f["op"].isin(GONE).to_numpy())
+        if len(gone):
+            first, last, edits, net = None, None, 0, 0
+            f, us = f.iloc[gone[-1] + 1 :], us[gone[-1] + 1 :]
+        if len(us):
+            first, last, edits, net = (int(us[0]) if first is None else first), int(us[-1]), edits + len(us), net + int(f["delta"].fillna(0).sum())
+        if edits:
+            state.update((first, last, edits, net))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame([(name[0], name[1], first, last, edits, net)], columns=["root", "path", "first_us", "last_us", "edits", "net_delta"])
 
     out = events.select("root", "path", "event_id", "ts", "op", "delta").groupBy("root", "path").applyInPandasWithState(

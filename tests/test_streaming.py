@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from arborlens.operators import activity
 from arborlens.operators.sessions import sessionize
 from arborlens.streaming import edits
-from arborlens.streaming.sessions import sessionize_stream
+from arborlens.streaming.sessions import drained, sessionize_stream
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "event_id bigint, root string, ts timestamp, op string, path string, lines int, size bigint, delta int"
@@ -62,6 +62,17 @@ def test_sessions(spark, tmp_path):
     assert len(want) > 5 and got == want
 
 
+def test_a_drained_stream_equals_the_batch(spark, tmp_path):
+    rows = [(i, None if i % 5 == 0 else root, *rest) for i, root, *rest in some(4, 200)] + [(900, "a", None, "WRITE", "x", 1, 1, 1)]
+    rows += [rows[3], rows[50]]  # delivered again
+    write(spark, rows, f"{tmp_path}/in", 3)
+    got = {(x["root"], x["first_event_id"], x["last_event_id"], x["events"]) for x in drained(spark, f"{tmp_path}/in", "root", "ts", "event_id", 300_000_000, 10**12, 1).collect()}
+    from arborlens.operators.events import with_sound_op
+
+    batch = sessionize(with_sound_op(spark.createDataFrame(rows, SCHEMA)), ["root"], "ts", "event_id", 300_000_000).collect()
+    assert got == {(x["root"], x["first_event_id"], x["last_event_id"], x["events"]) for x in batch} and {x[0] for x in got} == {"a", "b", None}
+
+
 def test_deltas_and_debouncing(spark, tmp_path):
     rows = some(2, 150)
     write(spark, rows, f"{tmp_path}/in", 3)
