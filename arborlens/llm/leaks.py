@@ -9,9 +9,10 @@ therefore partitioned by size, and each partition asks for as many equal places
 with a probability below :data:`MISS` only. What passes is checked by exact containment of shingles,
 and then by aligning the words.
 
-The items' signatures are the query set. They are taken in groups of :data:`GROUP` items, whose index has a
-bounded size; each group is one pass over the corpus, and no shuffle is needed: a document's result rests on it and on the
-items alone.
+The items are the query set. As long as their texts have :data:`BROADCAST_BYTES` at most, their index is broadcast, and no
+shuffle is needed: a document's result rests on it and on the items alone. Beyond that items stay a table: places of
+signatures are rows, documents give those that a bitmap of fixed size does not rule out, and both meet in one join by
+place and value. Either way the corpus is gone through once to find candidates, however many items there are.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from arborlens.llm.text import portions, readings, words
+from arborlens.scratch import cut
 
 #: Words in a shingle; shortest passage in words; one word in so many may be changed, dropped or added.
 SHINGLE, PASSAGE, ONE_IN = 5, 30, 10
@@ -33,8 +36,10 @@ SHINGLE, PASSAGE, ONE_IN = 5, 30, 10
 STRIDE, BLOCK = 30, 60
 #: Hash functions in a signature; chance that a true pair of blocks is missed at its least likeness.
 HASHES, MISS = 64, 1e-3
-#: Items in an index: 4,000 of 300 words have some 80 MB.
-GROUP = 4000
+#: Bytes of item texts up to which their index, some twelve times as large in each Python worker, is broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Bits of the bitmap of the items' places and values: 16 MB, whatever the number of items.
+BITMAP_BITS = 1 << 27
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -164,14 +169,13 @@ class Index:
         keep = equal >= want
         return block[keep], item[keep]
 
-
-    def shared(self, sh: np.ndarray) -> np.ndarray:
-        """Sorted item * len(sh) + place of each shingle of a text that an item has."""
+    def shared(self, sh: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Sorted item * len(sh) + place of each shingle, at some places of a text, that an item has."""
         values, first, count, owner = self.shingle
-        at = np.searchsorted(values, sh)
+        at = np.searchsorted(values, sh[places])
         at[at == len(values)] = 0
-        place = np.flatnonzero(values[at] == sh)
-        at = at[place]
+        same = values[at] == sh[places]
+        at, place = at[same], places[same]
         n = count[at]
         if not len(n):
             return np.zeros(0, np.int64)
@@ -224,16 +228,14 @@ def aligned(item: np.ndarray, text: np.ndarray, seeds: np.ndarray) -> bool:
     return False
 
 
-def search(index: Index, texts: list[str | None], memo: Words) -> set[tuple[int, int]]:
-    """(text's place, item's place) of every passage found."""
-    hashed, start, size = read(texts, memo)
-    sh = shingles(hashed)
+def blocks(sh: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, sizes, signatures) of the blocks of texts that lie end to end; texts too short for a passage have none."""
     count = np.maximum(size - SHINGLE + 1, 0)
     count[size < PASSAGE - PASSAGE // ONE_IN] = 0
-    if not index.any or not count.any():
-        return set()
     tiles = -(-count // STRIDE)
     text = np.repeat(np.arange(len(count)), tiles)
+    if not len(text):
+        return text, text, text, np.zeros((HASHES, 0), np.uint32)
     nth = np.arange(len(text)) - np.repeat(np.concatenate([[0], np.cumsum(tiles)[:-1]]), tiles)
     begin = start[text] + nth * STRIDE
     length = np.minimum(count[text] - nth * STRIDE, STRIDE)
@@ -241,19 +243,30 @@ def search(index: Index, texts: list[str | None], memo: Words) -> set[tuple[int,
     edges = np.stack([begin, begin + length], axis=1).ravel()
     last_in = edges < len(sh)
     sig = np.full((HASHES, len(begin)), 0xFFFFFFFF, np.uint32)
-    inner = edges[last_in]
-    got = signatures(sh, inner)
+    got = signatures(sh, edges[last_in])
     sig[:] = got[:, np.flatnonzero(last_in.reshape(-1, 2)[:, 0].repeat(2)[last_in] & (np.arange(len(edges)) % 2 == 0)[last_in])]
     joined = np.append(text[1:] == text[:-1], False)
     sig[:, joined] = np.minimum(sig[:, joined], sig[:, np.flatnonzero(joined) + 1])
-    sizes = length + np.append(length[1:], 0) * joined
+    return text, begin, length + np.append(length[1:], 0) * joined, sig
+
+
+def search(index: Index, texts: list[str | None], memo: Words) -> set[tuple[int, int]]:
+    """(text's place, item's place) of every passage found."""
+    hashed, start, size = read(texts, memo)
+    sh = shingles(hashed)
+    text, begin, sizes, sig = blocks(sh, start, size)
+    if not index.any or not len(text):
+        return set()
     blk, item = index.candidates(sig, sizes)
     margin = PASSAGE // ONE_IN * 2 + SHINGLE
     begin, text = begin[blk], text[blk]
     a = np.maximum(begin - margin, start[text])
     z = np.minimum(begin + BLOCK + margin, start[text] + size[text])
-    # exact containment: the shingles of the item that stand in the block
-    shared = index.shared(sh)
+    # exact containment: the shingles of the item that stand in the block; looked up in candidates only
+    depth = np.zeros(len(sh) + 1, np.int32)
+    np.add.at(depth, a, 1)
+    np.add.at(depth, np.minimum(z, len(sh)), -1)
+    shared = index.shared(sh, np.flatnonzero(np.cumsum(depth[:-1])))
     lo = np.searchsorted(shared, item * len(sh) + a)
     hi = np.searchsorted(shared, item * len(sh) + z - SHINGLE + 1)
     out: set[tuple[int, int]] = set()
@@ -267,48 +280,132 @@ def search(index: Index, texts: list[str | None], memo: Words) -> set[tuple[int,
     return out
 
 
+def holds(item: np.ndarray, text: np.ndarray) -> bool:
+    """Whether a passage of an item stands in a text, both as hashes of words: exact containment, then alignment, of every block."""
+    own, sh = shingles(item), shingles(text)
+    if len(item) < PASSAGE or not len(sh):
+        return False
+    here = np.concatenate([[0], np.cumsum(np.isin(sh, own))])
+    margin = PASSAGE // ONE_IN * 2 + SHINGLE
+    begin = np.arange(0, len(sh), STRIDE)
+    a, z = np.maximum(begin - margin, 0), np.minimum(begin + BLOCK + margin, len(text))
+    for i in np.flatnonzero(here[np.minimum(z - SHINGLE + 1, len(sh))] - here[a] >= LEAST).tolist():
+        seeds = np.flatnonzero(np.isin(own, sh[a[i] : z[i] - SHINGLE + 1]))
+        if aligned(item, text[a[i] : z[i]], seeds):
+            return True
+    return False
+
+
 _indexes: dict[object, tuple[Index, Words]] = {}
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(item_id, doc_id) of items of which a passage stands in a document.
 
     A passage is a stretch of :data:`PASSAGE` words of the item or more, with at most one word in
     :data:`ONE_IN` changed, dropped or added; only words count. Null and empty texts and items shorter than
     a passage have no rows; repeated rows of a document or item give one row, of items with one id the first text counts. Texts are read whole.
+    Items whose texts have more than ``most_bytes`` are joined, not broadcast.
+    """
+    known = items.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).alias("said"))
+    known = known.groupBy("item").agg(F.min("said").alias("said"))
+    source = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    size = known.agg(F.coalesce(F.sum(F.octet_length("said")), F.lit(0))).first()[0]
+    found = _by_broadcast(source, known) if size <= most_bytes else _by_join(source, known)
+    return found.distinct().select(F.col("item").alias(item_id), F.col("doc").alias(doc_id))
+
+
+def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, doc) by an index of all items in each worker."""
+    kinds = dict(docs.dtypes)["doc"], dict(items.dtypes)["item"]
+    id_type = to_arrow_type(items.schema["item"].dataType)
+    held = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])  # BROADCAST_BYTES of text at most, as counted
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = (len(held.value), hash(tuple(held.value)))
+        if name not in _indexes:
+            _indexes.clear()
+            memo = Words()
+            _indexes[name] = (Index(held.value, memo), memo)
+        index, memo = _indexes[name]
+        for b in batches:
+            for part in portions(b, 1):
+                read_as = [(t, r) for t, text in enumerate(part.column(1).to_pylist()) for r in readings(text, index.known)]
+                found = sorted((read_as[t][0], i) for t, i in search(index, [r for _, r in read_as], memo))
+                yield pa.RecordBatch.from_arrays([pa.array([index.ids[i] for _, i in found], id_type), part.column(0).take(pa.array([t for t, _ in found], pa.int64()))], names=["item", "doc"])
+
+    return docs.mapInArrow(work, f"item {kinds[1]}, doc {kinds[0]}")
+
+
+def _places(rows: DataFrame, column: str, bits: np.ndarray | None = None, held=None) -> DataFrame:
+    """(id, block, size, place, value): the signature of every block of every reading of a text, a row a place.
+
+    With ``held``, a broadcast bitmap, only places and values that it may have, of blocks with as many of them as their size asks for.
     """
+    kind = rows.dtypes[0][1]
+    names = ["id", "block", "size", "place", "value"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Words()
+        for b in batches:
+            for part in portions(b, 1):
+                read_as = [(t, r) for t, text in enumerate(part.column(1).to_pylist()) for r in readings(text)]
+                hashed, start, size = read([r for _, r in read_as], memo)
+                text, begin, sizes, sig = blocks(shingles(hashed), start, size)
+                keep = np.ones(sig.shape, bool)
+                if held is not None:
+                    at = _bit(np.arange(HASHES, dtype=np.int64)[:, None], sig.astype(np.int64))
+                    keep = (held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    keep &= keep.sum(axis=0) >= _NEEDED[np.searchsorted(_SIZES, np.minimum(sizes, _SIZES[-1]))]
+                place, block = np.nonzero(keep)
+                ids = part.column(0).take(pa.array([read_as[t][0] for t in text[block].tolist()], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(begin[block].astype(np.int64)), pa.array(sizes[block].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sig[place, block].astype(np.int64))], names=names)
+
+    return rows.mapInArrow(work, f"id {kind}, block bigint, size int, place int, value bigint")
+
+
+def _bit(place, value):
+    """The bit of a place and value; the same for arrays and columns."""
+    return (value * HASHES + place) % BITMAP_BITS
+
+
+def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, doc) by a join of signatures; nothing that grows with items or documents is broadcast or collected."""
     spark = docs.sparkSession
-    kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    out_schema = f"`{item_id}` {kinds[1]}, `{doc_id}` {kinds[0]}"
-    source = docs.select(doc_id, text)
-    whole = None
-
-    def one(group: list) -> DataFrame:
-        held = spark.sparkContext.broadcast(group)  # GROUP items at most
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            name = (len(held.value), hash(tuple(held.value)))
-            if name not in _indexes:
-                _indexes.clear()
-                memo = Words()
-                _indexes[name] = (Index(held.value, memo), memo)
-            index, memo = _indexes[name]
-            for b in batches:
-                for part in portions(b, 1):
-                    read_as = [(t, r) for t, text in enumerate(part.column(1).to_pylist()) for r in readings(text, index.known)]
-                    found = sorted((read_as[t][0], i) for t, i in search(index, [r for _, r in read_as], memo))
-                    ids = pa.array([index.ids[i] for _, i in found])
-                    yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()) if not len(ids) else ids, part.column(0).take(pa.array([t for t, _ in found], pa.int64()))], names=[item_id, doc_id])
-
-        return source.mapInArrow(work, out_schema)
-
-    group: list = []
-    rows = items.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, item_text).groupBy(item_id).agg(F.min(item_text).alias(item_text)).orderBy(item_id)
-    for r in rows.toLocalIterator():
-        group.append((r[0], r[1]))
-        if len(group) == GROUP:
-            whole = one(group) if whole is None else whole.unionByName(one(group))
-            group = []
-    if group or whole is None:
-        whole = one(group) if whole is None else whole.unionByName(one(group))
-    return whole.distinct()
+    theirs = cut(_places(items, "said").select("id", "place", "value").distinct(), "signatures")  # a value counts once for an item
+    bit = _bit(F.col("place"), F.col("value"))
+    buckets = theirs.select((bit + 1).alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
+    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in buckets.collect():  # BITMAP_BITS at most
+        bitmap[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(r["bits"], np.uint8)  # buckets are counted from 1
+    held = spark.sparkContext.broadcast(bitmap)
+    ours = _places(docs, "text", held=held).withColumnRenamed("id", "doc")
+    need = F.element_at(F.array(*[F.lit(int(n)) for n in _NEEDED]), F.lit(len(_SIZES)) - sum((F.col("size") <= int(s)).cast("int") for s in _SIZES[:-1]))
+    equal = ours.join(theirs.withColumnRenamed("id", "item"), ["place", "value"]).groupBy("doc", "block", "item").agg(F.count_distinct("place").alias("n"), F.max("size").alias("size"))
+    pairs = cut(equal.filter(F.col("n") >= need).select("doc", "item").distinct(), "candidates")
+    # short texts go to the long ones: a document's text is moved once, whatever its number of candidates
+    both = pairs.join(items, "item").join(docs, "doc").select("item", "doc", "text", "said")
+    kinds = dict(both.dtypes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, last, ours, known = Words(), None, {}, {}
+        for b in batches:
+            keep = []
+            for text, item in zip(b.column(2), b.column(3)):  # a document's rows follow each other
+                text, item = text.as_py(), item.as_py()
+                if text != last:
+                    last, ours = text, {}
+                if item not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    said = [words(r) for r in readings(item)]
+                    known[item] = [memo.hashes(ws) for ws in said], {w for ws in said for w in ws}
+                theirs, spelled = known[item]
+                as_read = readings(text, spelled)
+                for r in as_read:
+                    if r not in ours:
+                        ours[r] = memo.hashes(words(r))
+                keep.append(any(holds(i, ours[r]) for i in theirs for r in as_read))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["item", "doc"])
+
+    return both.mapInArrow(work, f"item {kinds['item']}, doc {kinds['doc']}")

@@ -33,7 +33,8 @@ def edited(r, ws, n):
     return ws
 
 
-def test_search_equals_a_plain_one(spark):
+@pytest.mark.parametrize("most_bytes", [L.BROADCAST_BYTES, 0])
+def test_search_equals_a_plain_one(spark, most_bytes):
     r = random.Random(7)
     items = [(i, [r.choice(VOCAB) for _ in range(r.choice([10, 30, 45, 70]))]) for i in range(6)]
     docs = []
@@ -45,22 +46,24 @@ def test_search_equals_a_plain_one(spark):
         docs.append((1000 + i, body))
     want = {(i, d) for d, t in docs for i, w in items if plainly(w, t)}
     rows = [(d, " ".join(t).upper() if d % 2 else ",\n> ".join(t), "x") for d, t in docs] + [(1, None, "x"), (2, "", "x")]
-    df = L.leaked(spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string, item_id string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(99, None), (98, "")], "item_id bigint, text string"))
+    df = L.leaked(spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string, item_id string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(99, None), (98, "")], "item_id bigint, text string"), most_bytes=most_bytes)
     got = {tuple(x) for x in df.collect()}
     assert len(want) > 10 and got == want
 
 
-def test_no_items_or_documents(spark):
+@pytest.mark.parametrize("most_bytes", [0, -1])
+def test_no_items_or_documents(spark, most_bytes):
     d, i = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
-    assert L.leaked(d, i).count() == 0
-    assert L.leaked(spark.createDataFrame([(1, "a b " * 50)], "doc_id bigint, text string"), i).count() == 0
+    assert L.leaked(d, i, most_bytes=most_bytes).count() == 0
+    assert L.leaked(spark.createDataFrame([(1, "a b " * 50)], "doc_id bigint, text string"), i, most_bytes=most_bytes).count() == 0
 
 
-def test_items_in_several_groups(spark, monkeypatch):
-    monkeypatch.setattr(L, "GROUP", 2)
+@pytest.mark.parametrize("most_bytes", [L.BROADCAST_BYTES, 0])
+def test_other_names_and_types(spark, most_bytes):
     items = [(i, " ".join(f"g{i}x{k}" for k in range(40))) for i in range(5)]
-    got = L.leaked(spark.createDataFrame([(100 + i, f"before {t} after") for i, t in items], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
-    assert {tuple(x) for x in got} == {(i, 100 + i) for i in range(5)}
+    docs = spark.createDataFrame([(f"d{i}", f"before {t} after", 1, "x") for i, t in items], "item string, said string, block int, doc string")
+    got = L.leaked(docs, spark.createDataFrame(items, "place int, value string"), "item", "said", "place", "value", most_bytes).collect()
+    assert {(x["place"], x["item"]) for x in got} == {(i, f"d{i}") for i in range(5)}
 
 
 def test_least_is_what_edits_leave():
@@ -94,12 +97,13 @@ def test_least_likeness_holds_for_full_blocks():
     assert L._SIZES[-1] == 2 * L.STRIDE
 
 
-def test_words_broken_at_a_line_end(spark):
+@pytest.mark.parametrize("most_bytes", [L.BROADCAST_BYTES, 0])
+def test_words_broken_at_a_line_end(spark, most_bytes):
     item = [f"{a}{b}put" for a in "abcdef" for b in "ghijk"] + ["well", "known"]
     text = lambda ws: " ".join(ws)
     broken = lambda ws, *at: text(w[:2] + "-\n" + w[2:] if i in at else w for i, w in enumerate(ws))
     # two breaks and, in the second, a third edit; a hyphen of its own at a line's end beside two breaks
     docs = {1: broken(item[:30], 3, 17), 2: broken(item[:30], 3, 17).replace(item[9], "other"), 3: broken(item[2:30], 5, 19, 23) + " well-\nknown", 4: broken(item[:30], 3, 17).replace("-\n", "-\r\n> ")}
     rows = [(1, text(item[:30]) + " well-known"), (2, broken(item, 7, 8, 9))]
-    got = {tuple(x) for x in L.leaked(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(rows, "item_id bigint, text string")).collect()}
+    got = {tuple(x) for x in L.leaked(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(rows, "item_id bigint, text string"), most_bytes=most_bytes).collect()}
     assert got == {(i, d) for i in (1, 2) for d in docs}
