@@ -2,8 +2,8 @@
 
 What fits together depends on lengths alone, and there are no more lengths than the capacity. The plan is
 therefore made on a histogram: take the longest length left, fill up with the longest that fit until the
-gap can be closed, and look up one, two or three lengths whose sum closes it exactly and of which enough
-texts are left. Such a combination is used for as many windows as the counts allow, so every step of the
+gap can be closed, and look up, in an index of the sums of one, two and three lengths, a sum that closes it exactly
+and of whose lengths enough texts are left. Such a combination is used for as many windows as the counts allow, so every step of the
 plan exhausts a length (or leaves less of it than one window takes), and the plan's size is bounded by the
 capacity, not by the corpus. Where nothing closes a gap, the longest length that fits goes in (best fit).
 
@@ -33,20 +33,24 @@ from arborlens.scratch import cut
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 
 
+def vocabulary_of(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[str, bytes]:
+    """(pattern, merges) of a public tokenizer, read where the job is started; executors need no files of it."""
+    spec = importlib.util.spec_from_file_location("_public_tokenizers", Path(folder, "__init__.py"))
+    public = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(public)
+    return public.PATTERN, Path(folder, vocabulary).read_bytes()
+
+
 class Counter:
     """Counts a text's tokens. Byte-pair merges do not cross the pieces that the pattern cuts, so a piece is measured once."""
 
-    def __init__(self, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> None:
+    def __init__(self, pattern: str, merges: bytes) -> None:
         import regex
         import tiktoken
 
-        spec = importlib.util.spec_from_file_location("_public_tokenizers", Path(folder, "__init__.py"))
-        public = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(public)
-        lines = Path(folder, vocabulary).read_bytes().splitlines()
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
-        self.encoding = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = regex.compile(public.PATTERN).findall
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in merges.splitlines() if line)}
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pieces = regex.compile(pattern).findall
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str | None) -> int:
@@ -64,28 +68,88 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def _counter(folder: str, vocabulary: str) -> Counter:
-    return Counter(folder, vocabulary)
+def _counter(pattern: str, merges: bytes) -> Counter:
+    return Counter(pattern, merges)
 
 
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens) of every row; null and empty texts have 0 tokens."""
     kind = dict(docs.dtypes)[doc_id]
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary_of(folder, vocabulary))  # a vocabulary: about a megabyte
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(folder, vocabulary)
+        count = _counter(*held.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(t) for t in b.column(1).to_pylist()], pa.int64())], names=[doc_id, "tokens"])
 
     return docs.select(doc_id, text).mapInArrow(work, f"`{doc_id}` {kind}, tokens bigint")
 
 
+class Sums:
+    """The sums of one, two and three lengths, by sum: which of them lengths that are left can make.
+
+    Counts only fall, so a sum that is out is out for good, and the search for a sum's parts goes on where it stopped.
+    """
+
+    def __init__(self, left: np.ndarray, lengths: list[int]) -> None:
+        self.left, self.lengths = left, np.array(lengths[::-1], np.int64)  # the longest first
+        there = np.zeros(len(left), np.float64)
+        there[lengths] = 1
+        n = 1 << (3 * len(left)).bit_length()
+        wave = np.fft.rfft(there, n)
+        self.two = np.fft.irfft(wave**2, n)[: len(left)] > 0.5
+        self.three = np.fft.irfft(np.fft.rfft(self.two.astype(np.float64), n) * wave, n)[: len(left)] > 0.5
+        self.at: dict[int, int] = {}
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """Two lengths that make ``total``, the longest possible first."""
+        if not self.two[total]:
+            return None
+        start = self.at.get(total)
+        if start is None:
+            start = int(np.searchsorted(-self.lengths, -(total - 1)))
+        while start < len(self.lengths) and 2 * self.lengths[start] >= total:
+            a = self.lengths[start : start + 256]
+            a = a[2 * a >= total]
+            ok = np.flatnonzero((self.left[a] > 0) & (self.left[total - a] > (2 * a == total)))
+            if len(ok):
+                self.at[total] = start + int(ok[0])
+                return int(a[ok[0]]), int(total - a[ok[0]])
+            start += len(a)
+        self.two[total] = False
+        return None
+
+    def closing(self, total: int) -> tuple[int, ...] | None:
+        """One, two or three lengths left that make ``total``."""
+        if self.left[total]:
+            return (total,)
+        if two := self.pair(total):
+            return two
+        if not self.three[total]:
+            return None
+        first = int(np.searchsorted(-self.lengths, -(total - 2)))
+        a = self.lengths[first:]
+        a = a[3 * a >= total]
+        never = True
+        for x in a[(self.left[a] > 0) & self.two[total - a]].tolist():
+            if rest := self.pair(total - x):
+                if all(self.left[y] >= (x, *rest).count(y) for y in rest) and self.left[x] >= (x, *rest).count(x):
+                    return (x, *rest)
+                never = False  # the pair needs what x takes; another may do later
+        if never:
+            self.three[total] = False
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Steps of ([(length, how many of it in a window)], windows) that use up all counts."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     lengths = sorted(n for n in counts if counts[n] > 0)
+    if not lengths:
+        return []
+    closing = Sums(left, lengths).closing
     steps = []
 
     def longest(most: int) -> int:
@@ -96,36 +160,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, in
             at -= 1
         return lengths[at] if at >= 0 else 0
 
-    def closing(gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths left that fill the gap, the longest first."""
-        if left[gap]:
-            return (gap,)
-        there = left[: gap + 1] > 0
-        pairs = there[1:gap] & there[gap - 1 : 0 : -1]
-        if gap % 2 == 0 and left[gap // 2] < 2:
-            pairs[gap // 2 - 1] = False
-        if pairs.any():
-            a = gap - 1 - int(pairs[::-1].argmax())
-            return (a, gap - a)
-        # three: for each possible longest, whether the rest splits into two that are left
-        for a in np.flatnonzero(there)[::-1].tolist():
-            if 3 * a < gap:
-                break
-            rest = gap - a
-            if rest < 2:
-                continue
-            two = there[1:rest] & there[rest - 1 : 0 : -1]
-            for b in (np.flatnonzero(two) + 1)[::-1].tolist():
-                c = rest - b
-                if b < c:
-                    break
-                need = {a: 0, b: 0, c: 0}
-                for x in (a, b, c):
-                    need[x] += 1
-                if all(left[x] >= k for x, k in need.items()):
-                    return (a, b, c)
-        return None
-
     while first := longest(capacity):
         used: dict[int, int] = {}
         gap = capacity

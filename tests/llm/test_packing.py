@@ -1,6 +1,9 @@
 import random
+import time
 from collections import Counter, defaultdict
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 from arborlens.llm import packing as P
@@ -24,6 +27,36 @@ def test_plans_use_up_all_counts(seed):
         assert windows <= -(-total // cap) * 1.01 + 1
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_index_of_sums_equals_a_search(seed):
+    r = random.Random(seed)
+    cap = 40
+    left = np.zeros(cap + 1, np.int64)
+    for x in r.sample(range(1, cap + 1), r.randint(1, 12)):
+        left[x] = r.randint(1, 3)
+    sums = P.Sums(left, [x for x in range(1, cap + 1) if left[x]])
+    while left.any():
+        for total in r.sample(range(1, cap + 1), 10):
+            own = [x for x in range(1, cap + 1) for _ in range(min(left[x], 3))]
+            possible = any(sum(c) == total for k in (1, 2, 3) for c in combinations(own, k))
+            got = sums.closing(total)
+            assert (got is not None) == possible, (total, left, got)
+            if got:
+                assert sum(got) == total and all(left[x] >= got.count(x) for x in got)
+        x = r.choice(np.flatnonzero(left).tolist())
+        left[x] -= 1  # counts only fall
+
+
+def test_a_wide_window_is_planned_in_seconds():
+    r = np.random.default_rng(3)
+    lengths, n = np.unique(np.minimum(1 + r.lognormal(8, 1.6, 400_000).astype(np.int64), 131_072), return_counts=True)
+    began = time.time()
+    steps = P.plan(dict(zip(lengths.tolist(), n.tolist())), 131_072)
+    took = time.time() - began
+    windows, total = sum(t for _, t in steps), int((lengths * n).sum())
+    assert took < 60 and windows <= -(-total // 131_072) * 1.001 + 1, (took, windows, total / 131_072)
+
+
 def test_complements_are_exact():
     (one,) = P.plan({6: 10, 4: 10}, 10)
     assert one == ([(6, 1), (4, 1)], 10)
@@ -63,6 +96,6 @@ def test_nothing_to_pack(spark):
 
 
 def test_tokens_are_those_of_the_tokenizer(spark, data):
-    count = P.Counter()
+    count = P.Counter(*P.vocabulary_of())
     texts = ["", None, "Hello, wörld!  \n\n x", "a" * 5000, "<|endoftext|>"] + [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").limit(50).collect()]
     assert [count(t) for t in texts] == [len(count.encoding.encode_ordinary(t or "")) for t in texts]
