@@ -19,7 +19,9 @@ _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([nrtbf\"'/\\]))")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-\u2010\u00ad](?:\r?\n|(?:\\r)?\\n)[ \t]*(?:[>#*/]+[ \t]*)?(?=([^\W\d_]+))")
 _WORD = re.compile(r"[^\W_]+")
-_MARKS = {c: None for c in range(0x300, 0x370)}
+_MARKS = re.compile("[\u0300-\u036f]+")
+#: What any break by a hyphen holds; looked for first, since hardly a text has one.
+_BREAKS = ("-\n", "-\r", "-\\n", "-\\r", "\u2010", "\u00ad")
 
 
 def _mend(m: re.Match) -> str:
@@ -31,7 +33,7 @@ def _mend(m: re.Match) -> str:
 
 def mended(text: str) -> str:
     """The text with letters restored that were decoded with the wrong code."""
-    return _BROKEN.sub(_mend, text) if "\u00c2" <= max(text, default="") and ("\u00c3" in text or "\u00c2" in text or "\u00c5" in text) else text
+    return _BROKEN.sub(_mend, text) if ("\u00c3" in text or "\u00c2" in text or "\u00c5" in text) else text
 
 
 def unescaped(text: str) -> str:
@@ -51,7 +53,7 @@ def words(text: str | None) -> list[str]:
         return []
     text = unescaped(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", mended(text).replace("\u00ad", "")).translate(_MARKS)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", mended(text).replace("\u00ad", "")))
     return _WORD.findall(text.casefold() if not text.isascii() else text.lower())
 
 
@@ -60,7 +62,7 @@ def readings(text: str | None, known: Container[str] = ()) -> list[str | None]:
 
     A break does not tell whether the hyphen belongs to the word, so neither reading replaces the other.
     """
-    if not text or not _HYPHEN.search(text):
+    if not text or not any(b in text for b in _BREAKS) or not _HYPHEN.search(text):
         return [text]
 
     def join(m: re.Match) -> str:
