@@ -77,8 +77,29 @@ def system_name(directory: Column) -> Column:
 
 
 def plain_text(text: Column) -> Column:
-    """Without terminal colours."""
-    return F.regexp_replace(text, "\u001b\\[[0-9;]*[a-zA-Z]", "")
+    """Without terminal colours and other control sequences: ``ESC [ ... letter`` and ``ESC ] ... BEL``."""
+    return F.regexp_replace(text, "\u001b(?:\\[[0-9;?]*[a-zA-Z]|\\][^\u0007\u001b]*(?:\u0007|\u001b\\\\))", "")
+
+
+def is_transient(path: Column) -> Column:
+    """Whether a name is that of a build tool's temporary file, which comes and goes within milliseconds."""
+    return F.contains(base_name(path), F.lit(".timestamp-"))
+
+
+def is_source(path: Column) -> Column:
+    """Whether a path has the extension of a known language and is not transient."""
+    return language(path).isNotNull() & ~is_transient(path)
+
+
+def control(path: Column, config: str = ".arborlens/config.json") -> Column:
+    """What a change of a file means for the watch itself: ``ignores`` or ``config`` are to be read anew; null for data."""
+    return F.when(base_name(path) == ".gitignore", "ignores").when(path == config, "config")
+
+
+def rust_strings(text: Column) -> Column:
+    """The contents of Rust string literals, plain and raw (up to three hashes), in order; escapes stay as written."""
+    found = F.regexp_extract_all(text, F.lit(r'(?s)(r###".*?"###|r##".*?"##|r#".*?"#|r"[^"]*"|"(?:[^"\\]|\\.)*")'), 1)
+    return F.transform(found, lambda s: F.regexp_replace(s, r'(?s)^(?:r#*)?"|"#*$', ""))
 
 
 def mentions(text: Column, most: int | None = None) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlens.functions.dims import HUB
+from arborlens.functions.text import control, is_source
 from arborlens.operators.ranged import with_previous
 from arborlens.operators.sessions import sessionize
 from arborlens.scratch import cut
@@ -129,6 +130,19 @@ def enriched(events: DataFrame, degree: DataFrame) -> DataFrame:
     return one.select("event_id", n.alias("importers"), F.coalesce("imports", F.lit(0)).alias("imports"), (n >= HUB).alias("is_hub"))
 
 
+def split_control(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(control events with ``control``, data events of source files): a change of ignore files or of the configuration is no edit."""
+    told = events.withColumn("control", control(F.col("path")))
+    return told.filter(F.col("control").isNotNull()), told.filter(F.col("control").isNull() & is_source(F.col("path"))).drop("control")
+
+
+def members(events: DataFrame, start: DataFrame, key: list[str] = ("root",)) -> DataFrame:
+    """(key, path) of the files that are there after some events: those at the start (key, path), with what the last event of each file did."""
+    last = events.groupBy(*key, "path").agg(F.max_by("op", F.struct("ts", "event_id")).alias("op"))
+    one = start.select(*key, "path", F.lit(True).alias("there")).distinct().join(last, [*key, "path"], "full")
+    return one.filter(F.when(F.col("op").isNull(), F.col("there")).otherwise(~F.col("op").isin(*GONE))).select(*key, "path")
+
+
 def bursts(events: DataFrame, gap_us: int = 150_000, key: list[str] = ("root",)) -> DataFrame:
     """(key, began, events, removed): events coalesced while they follow within less than a gap, flags or-ed (trailing edge)."""
     one = sessionize(events, list(key), "ts", "event_id", gap_us - 1, F.col("op") == "REMOVE")

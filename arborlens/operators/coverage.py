@@ -50,6 +50,19 @@ def recorded(sources: DataFrame, key: list[str]) -> DataFrame:
     return one.select(*key, F.when(F.col("all"), "").when(F.col("some"), "partial").otherwise("unavailable").alias("status"))
 
 
+def merged(outcome: DataFrame, fallback: DataFrame, key: list[str]) -> DataFrame:
+    """(key, status, detail): an outcome with that of the source that stood in for it.
+
+    A fallback that told anything makes what was not authoritative ``mixed`` if something was told before and
+    ``fallback`` if nothing was; one that told nothing changes nothing. Details of both are kept.
+    """
+    two = fallback.select(*key, F.col("status").alias("f"), F.col("detail").alias("g"))
+    both = outcome.select(*key, "status", "detail").join(two, list(key), "full")
+    helped, had = F.coalesce(F.col("f").isin(*USABLE), F.lit(False)), F.coalesce(F.col("status").isin(*USABLE), F.lit(False))
+    status = F.when(~helped | (F.coalesce("status", F.lit("")) == "authoritative"), F.coalesce("status", "f")).when(had, "mixed").otherwise("fallback")
+    return both.select(*key, status.alias("status"), F.concat_ws("; ", F.nullif("detail", F.lit("")), F.nullif("g", F.lit(""))).alias("detail"))
+
+
 def notes(sources: DataFrame, key: list[str]) -> DataFrame:
     """(key, notes): details in order of record, each once."""
     rows = sources.filter(F.coalesce("detail", F.lit("")) != "").groupBy(*key, "detail").agg(F.min("seq").alias("seq"))

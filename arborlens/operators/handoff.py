@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlens.operators.ranged import with_previous
@@ -51,6 +51,60 @@ def promoted(new: Column, legacy: Column) -> Column:
     return F.when(F.size(F.coalesce(new, F.array())) > 0, new).otherwise(F.coalesce(legacy, F.array()))
 
 
+def normalised(artifacts: DataFrame) -> DataFrame:
+    """Artifacts (prefix, delta as structs, prefix_hash, delta_hash, combined_hash) with no list missing and every hash there.
+
+    Missing lists of the delta and of the prefix become empty ones; hashes that are missing or empty are made from the content.
+    """
+
+    def whole(c: str) -> Column:
+        kind = artifacts.schema[c].dataType
+        return F.struct(*[(F.coalesce(F.col(f"{c}.{f.name}"), F.array().cast(f.dataType)) if f.dataType.typeName() == "array" else F.col(f"{c}.{f.name}")).alias(f.name) for f in kind.fields])
+
+    one = artifacts.withColumns({"prefix": whole("prefix"), "delta": whole("delta")})
+    kept = lambda c, made: F.coalesce(F.nullif(F.col(c), F.lit("")), made)
+    one = one.withColumns({"prefix_hash": kept("prefix_hash", canonical(F.col("prefix"))), "delta_hash": kept("delta_hash", canonical(F.col("delta")))})
+    return one.withColumn("combined_hash", kept("combined_hash", chained(F.col("prefix_hash"), F.col("delta_hash"))))
+
+
+def write_latest(artifacts: DataFrame, folder: str, most: int = 500) -> None:
+    """Store one normalised artifact a root (root, generated_at, ...): the newest, its prefix and delta apart, and a line of metrics more.
+
+    Tables are written beside the old ones and take their place when they are whole. Of a root's lines of
+    metrics the newest ``most`` stay.
+    """
+    spark = artifacts.sparkSession
+    newest = normalised(artifacts).groupBy("root").agg(F.max_by(F.struct(*artifacts.columns), "generated_at").alias("a")).select("a.*")
+    lines = newest.select("root", "generated_at", "prefix_hash", "delta_hash", "combined_hash")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at(f"{folder}/metrics")):
+        lines = spark.read.parquet(f"{folder}/metrics").unionByName(lines).distinct()
+    rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("generated_at"), "combined_hash"))
+    lines = lines.withColumn("nth", rank).filter(F.col("nth") <= most).drop("nth")
+    for name, rows in {"metrics": lines, "prefix": newest.select("root", "prefix", "prefix_hash"), "delta": newest.select("root", "delta", "delta_hash"), "latest": newest}.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}.new")
+        fs.delete(at(f"{folder}/{name}"), True)
+        fs.rename(at(f"{folder}/{name}.new"), at(f"{folder}/{name}"))
+
+
+def read_latest(spark, folder: str, name: str = "latest") -> DataFrame | None:
+    """A stored table, or None if nothing was stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/{name}") if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def rendered(changed: DataFrame, risk: DataFrame, events: DataFrame, facts: DataFrame, most: int = 20) -> DataFrame:
+    """(key, text): a hand-off as text. Each section (key, nth, item) lists its first ``most`` items and counts the rest; facts: key, head."""
+    text = facts.select("key", F.concat(F.lit("# "), "head").alias("text"))
+    for name, rows in (("Changed", changed), ("At risk", risk), ("Recent events", events)):
+        per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", "item")))).alias("l"))
+        more = F.when(F.col("n") > F.size("l"), F.concat(F.lit("\n... and "), (F.col("n") - F.size("l")).cast("string"), F.lit(" more"))).otherwise("")
+        part = F.concat(F.lit(f"\n\n## {name}\n"), F.array_join(F.transform("l", lambda x: F.concat(F.lit("- "), x["item"])), "\n"), more)
+        text = text.join(per.select("key", part.alias("part")), "key", "left").select("key", F.concat("text", F.coalesce("part", F.lit(""))).alias("text"))
+    return text
+
+
 def changed_from_events(diff: DataFrame, events: DataFrame) -> DataFrame:
     """(path, status): the diff's paths; if it has none, the paths of events with status ``event``."""
     none = diff.agg((F.count(F.lit(1)) == 0).alias("none"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from arborlens.functions.dims import LADDER
 from arborlens.functions.paths import dir_name
 from arborlens.functions.text import family, language
+from arborlens.scratch import cut
 
 #: Strategies in order: Go package, relative path, path alias, package of a workspace, exact, suffix, directory.
 GO, RELATIVE, ALIAS, WORKSPACE, EXACT, SUFFIX, DIRECTORY = range(100, 800, 100)
@@ -121,9 +122,11 @@ def resolve(tries: DataFrame, idx: DataFrame) -> DataFrame:
 
     Go imports of a package with more than one file resolve to nothing.
     """
+    tries = cut(tries, "tries")  # imports are looked through and attempts made once
     asked = tries.select("root", "family", "kind", "key").distinct()
     looked = asked.select("root", "family", "kind", "key", F.explode(_endings(F.col("kind"), F.col("key"))).alias("t")).select("root", "family", "kind", "key", "t.rung", F.col("t.full").alias("full"))
     hits = looked.join(idx.withColumnRenamed("key", "full"), ["root", "family", "kind", "full"]).select("root", "family", "kind", "key", "rung", "path")
+    hits = cut(hits, "hits")
     first = hits.groupBy("root", "family", "kind", "key").agg(F.min("rung").alias("rung"), F.count(F.lit(1)).alias("n"))
     first = first.filter((F.col("kind") != "go") | (F.col("n") == 1)).drop("n")
     won = hits.join(first, ["root", "family", "kind", "key", "rung"])

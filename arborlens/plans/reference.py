@@ -463,15 +463,20 @@ def skill_match(s, d):
     return rank.skills(tasks, known)
 
 
-@query
-def doc_drift(s, d):
+def _drift(s, d):
+    """(commits, pairs) of the hand-off artifacts."""
     # commits: times of artifacts, newest first, each once; paths: what all artifacts of that time changed
     artifacts = table(s, d, "handoff_artifact").select("written_at", "delta.changed").filter(F.col("written_at").isNotNull())
     at = artifacts.select(F.explode("changed").alias("c"), "written_at").select(F.col("c.path").alias("path"), "written_at").dropna()
     pos = artifacts.select("written_at").distinct().orderBy(F.desc("written_at")).limit(200).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("written_at"))) - 1)
     commits = at.join(pos, "written_at").select("pos", "path")
     pairs = s.createDataFrame([(a, f"{a}/{b}", c) for a in ("core", "pkg", "lib") for b, c in (("auth/", "src/"), ("render/", "app/"), ("none/", "cmd/"), ("store/", f"{a}/"))], "subsystem string, doc string, code string")
-    return rank.drift(commits, pairs, 200)
+    return commits, pairs
+
+
+@query
+def doc_drift(s, d):
+    return rank.drift(*_drift(s, d), 200)
 
 
 # texts, coverage, hand-off
