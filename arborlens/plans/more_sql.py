@@ -5,6 +5,7 @@ from __future__ import annotations
 from arborlens.functions.dims import ASSETS
 from arborlens.plans import reference_sql as R
 from arborlens.plans.problems_sql import plain
+from arborlens.plans.reference import SKILLS
 from arborlens.plans.views import NOW
 
 _E, _F, _L, _H, _D, _C = R._EVENTS, R._FILES, R._EDGES, R._HUBS, R._DEGREE, R._CHANGED
@@ -64,7 +65,27 @@ def _rendered(name: str, items: str, title: str) -> str:
       {name} AS (SELECT artifact_id, E'\\n\\n## {title}\\n' || coalesce(string_agg('- ' || x.path, E'\\n' ORDER BY nth) FILTER (nth <= 5), '') || CASE WHEN count(*) > count(*) FILTER (nth <= 5) THEN E'\\n... and ' || (count(*) - count(*) FILTER (nth <= 5)) || ' more' ELSE '' END AS part FROM {name}0 WHERE x.path IS NOT NULL GROUP BY artifact_id)"""
 
 
+def _skill(name: str, priority: int, keywords: list[str], languages: list[str], patterns: list[str]) -> str:
+    """The points of one skill for every task that has any."""
+    word = f"list_filter([{R._list(k.lower() for k in keywords)}], lambda k: k = category)" if keywords else "CAST([] AS VARCHAR[])"
+    speaks = f"list_filter(speaks, lambda l: l IN ({R._list(languages)}))" if languages else "CAST([] AS VARCHAR[])"
+    paths = "CAST([] AS VARCHAR[])"
+    for p in patterns:
+        if "*" in p or "?" in p:
+            regex = "^" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\." if c == "." else c for c in p) + "$"
+            hit = f"regexp_matches(f, '{regex}') OR regexp_matches({R._base('f')}, '{regex}')"
+        else:
+            hit = f"contains(f, '{p}')"
+        paths = f"list_concat({paths}, list_filter(files, lambda f: {hit}))"
+    return f"""SELECT id, '{name}' AS name, 3 * len({word}) + 2 * len({speaks}) + len({paths}) AS points, {priority // 5} AS extra,
+      array_to_string(list_concat(list_concat(list_transform({word}, lambda k: 'category:' || category), list_transform({speaks}, lambda l: 'language:' || l)), list_transform({paths}, lambda f: 'path:' || f)), ', ') AS reason FROM tasks"""
+
+
+_SKILLS = f"""tasks AS (SELECT m.id, category, found[:5] AS files, list_sort(list_distinct(list_filter(list_transform(found[:5], lambda p: {R._language("p")}), lambda l: l IS NOT NULL))) AS speaks FROM distinct_mentions m JOIN intent i ON i.id = m.id),
+points AS ({" UNION ALL ".join(_skill(*s) for s in SKILLS)})"""
+
 SQL = {
+    "skill_match": f"""WITH {R._MENTIONS}, {R._INTENT}, {_SKILLS} SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY points + extra DESC, name) AS INT) AS nth, name, CAST(points + extra AS INT) AS score, reason FROM points WHERE points > 0 QUALIFY nth <= 3""",
     "resolve_real": f"WITH {_F}, {_REAL} SELECT * FROM resolved",
     "resolve_strategies": f"WITH {_F}, {_REAL} SELECT strategy, {R._language('src')} AS language, count(DISTINCT (root, src, spec)) AS imports FROM resolved GROUP BY 1, 2",
     "handoff_rendered": f"""WITH one AS (SELECT artifact_id, arg_max({{'b': branch, 'd': delta}}, written_at) AS o FROM handoff_artifact GROUP BY artifact_id), a AS (SELECT artifact_id, o.b AS branch, o.d AS delta FROM one), {_rendered("p1", "delta.changed", "Changed")}, {_rendered("p2", "delta.risk_files", "At risk")}, {_rendered("p3", "delta.recent_events", "Recent events")},

@@ -70,6 +70,16 @@ SELECT f AS file_name, change_kind, old_path, new_path FROM changes x
 WHERE NOT EXISTS (SELECT 1 FROM retyped r WHERE r.f = x.f AND (starts_with(x.path, r.path || '.') OR starts_with(x.path, r.path || '[]')))
 """
 
+_MOVES = _TREES.replace("SELECT f AS file_name, change_kind", ", told AS (SELECT f, change_kind", 1).rstrip() + r"""),
+gone_shapes AS (SELECT t.f, t.old_path AS p, regexp_extract(t.old_path, '[^.]*$') AS name, string_agg(substr(o.path, length(t.old_path) + 1) || ':' || o.kinds, ',' ORDER BY o.path) AS shape FROM told t
+  JOIN old o ON o.f = t.f AND (o.path = t.old_path OR starts_with(o.path, t.old_path || '.') OR starts_with(o.path, t.old_path || '[]')) WHERE t.change_kind = 'removed' GROUP BY t.f, t.old_path),
+come_shapes AS (SELECT t.f, t.new_path AS p, regexp_extract(t.new_path, '[^.]*$') AS name, string_agg(substr(n.path, length(t.new_path) + 1) || ':' || n.kinds, ',' ORDER BY n.path) AS shape FROM told t
+  JOIN new n ON n.f = t.f AND (n.path = t.new_path OR starts_with(n.path, t.new_path || '.') OR starts_with(n.path, t.new_path || '[]')) WHERE t.change_kind = 'added' GROUP BY t.f, t.new_path),
+went AS (SELECT f, name, shape, min(p) AS p FROM gone_shapes GROUP BY f, name, shape HAVING count(*) = 1), came AS (SELECT f, name, shape, min(p) AS p FROM come_shapes GROUP BY f, name, shape HAVING count(*) = 1),
+moved AS (SELECT w.f, w.p AS old_path, c.p AS new_path FROM went w JOIN came c ON c.f = w.f AND c.name = w.name AND c.shape = w.shape)
+SELECT f AS file_name, change_kind, old_path, new_path FROM told t WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.f = t.f AND (t.change_kind = 'removed' AND m.old_path = t.old_path OR t.change_kind = 'added' AND m.new_path = t.new_path))
+UNION ALL SELECT f, 'moved', old_path, new_path FROM moved"""
+
 _ARTIFACTS = r"""
 best AS (SELECT * FROM handoff_artifact QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY written_at DESC) = 1),
 once AS (SELECT artifact_id, CASE WHEN json_valid(agent_history) THEN agent_history::JSON END AS v FROM best),
@@ -100,6 +110,7 @@ SQL = {
       SELECT path, coalesce(importers, 0) AS importers FROM named LEFT JOIN n USING (path)""",
     "p2_snapshots": f"WITH {_HUBS} SELECT path, count(DISTINCT snapshot_id) AS snapshots, max(importers) AS most_importers FROM hubs GROUP BY path",
     "p3_found": f"WITH {_TREES}",
+    "p3_moves": f"WITH {_MOVES}",
     "p5_found": f"{_SESSIONS} SELECT root, first_event_id, last_event_id FROM sessions",
     "p5_sessions": f"{_SESSIONS} SELECT root, first_event_id, last_event_id, started_at, ended_at, duration_us, events FROM sessions",
     "p5_streamed": f"{_SESSIONS} SELECT root, first_event_id, last_event_id FROM sessions",
