@@ -5,10 +5,13 @@ Nothing here runs a job. Limits change what is shown, never what is counted: tot
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from arborlens.functions import text as T
 from arborlens.functions.dims import HUB
@@ -35,6 +38,41 @@ class Limits:
     active: int = 10
 
 
+def limits_from(settings: Mapping[str, str], limits: Limits = Limits(), prefix: str = "ARBORLENS_MAX_") -> Limits:
+    """Limits with what settings (such as the environment) say of them, none below 0; what is no whole number says nothing."""
+    told = {}
+    for f in fields(limits):
+        value = settings.get(prefix + f.name.upper(), "").strip()
+        told[f.name] = max(0, int(value) if re.fullmatch(r"[+-]?\d+", value) else getattr(limits, f.name))
+    return Limits(**told)
+
+
+_watches: dict[str, StreamingQuery] = {}
+
+
+def watch_start(name: str, start: Callable[[], StreamingQuery]) -> str:
+    """Start a stream under a name (see :func:`arborlens.streaming.edits.append_to`) unless it runs; 'started' or 'running'."""
+    if name in _watches and _watches[name].isActive:
+        return "running"
+    _watches[name] = start()
+    return "started"
+
+
+def watch_status(name: str) -> dict:
+    """Whether a watch is active, its last batch and the rows of it, and what ended it if it failed."""
+    q = _watches.get(name)
+    last = q.lastProgress if q is not None else None
+    return {"active": q is not None and q.isActive, "batch": last["batchId"] if last else None, "rows": last["numInputRows"] if last else 0, "error": str(q.exception()) if q is not None and q.exception() else ""}
+
+
+def watch_stop(name: str) -> bool:
+    """Stop a watch; False if there was none."""
+    q = _watches.pop(name, None)
+    if q is not None:
+        q.stop()
+    return q is not None
+
+
 def structure(files: DataFrame, edges: DataFrame | None = None, only: list[str] = (), exclude: list[str] = (), limits: Limits = Limits()) -> Bundle:
     """A tree: totals, directories, commonest extensions, largest files and, where edges are known, hubs."""
     shown = inventory.scanned(files, only, exclude)

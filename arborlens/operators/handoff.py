@@ -113,6 +113,12 @@ def changed_from_events(diff: DataFrame, events: DataFrame) -> DataFrame:
     return diff.select("path", "status").unionByName(extra)
 
 
+def edited_files(history: Column) -> Column:
+    """The distinct files that an agent history's entries (files_edited: array<struct<path>>) edited, in the order first seen."""
+    paths = F.flatten(F.transform(F.filter(history, lambda e: e.isNotNull() & e["files_edited"].isNotNull()), lambda e: F.transform(e["files_edited"], lambda f: f["path"])))
+    return F.array_distinct(F.filter(paths, lambda p: p.isNotNull()))
+
+
 def last_agents(history: Column, most: int = 20) -> Column:
     """The last entries of an agent history, at most ``most``."""
     return F.slice(history, F.greatest(F.size(history) - most + 1, F.lit(1)), F.lit(most))

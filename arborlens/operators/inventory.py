@@ -83,6 +83,12 @@ def asset(ext: Column) -> Column:
     return (e == "") | e.isin(*ASSETS)
 
 
+def common_sources(files: DataFrame, most: int = 5) -> DataFrame:
+    """(ext, files, matched): the commonest extensions of source files, what a configuration would allow, and how many files all of these match."""
+    few = files.filter(language(F.col("path")).isNotNull()).groupBy(F.lower("ext").alias("ext")).agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "ext").limit(most)
+    return few.join(F.broadcast(few.agg(F.sum("files").alias("matched"))), F.lit(True), "left")  # ``most`` rows and one
+
+
 def largest(files: DataFrame, most: int = 5) -> DataFrame:
     """The largest files that are no assets (path, size); files without extension or size do not count."""
     return files.filter(F.col("size").isNotNull() & ~asset(F.col("ext"))).select("path", "size").orderBy(F.desc("size"), "path").limit(most)
@@ -140,6 +146,12 @@ def depth_for(files: Column) -> Column:
     return F.when(F.coalesce(files, F.lit(0)) <= 0, 2).when(files > LARGE_TREE, 2).when(files > MEDIUM_TREE, 3).otherwise(4)
 
 
+def depth_of(argument: Column, configured: Column, files: Column) -> Column:
+    """The depth that is asked for, else the configured one, else that of the tree's size; 0 and less count as none."""
+    some = lambda c: F.when(c > 0, c)
+    return F.coalesce(some(argument), some(configured), depth_for(files))
+
+
 def budget_for(files: Column) -> Column:
     """(changed, risk, events) that a hand-off of a tree of so many files lists."""
     big, mid = files > LARGE_TREE, files > MEDIUM_TREE
@@ -147,6 +159,22 @@ def budget_for(files: Column) -> Column:
     return F.struct(pick(25, 40, 60).alias("changed"), pick(8, 10, 15).alias("risk"), pick(10, 15, 25).alias("events"))
 
 
+def fitted(buildings: DataFrame, width: int, each: int = 7) -> DataFrame:
+    """The tallest buildings that stand side by side in ``width`` letters, at least one."""
+    return buildings.orderBy(F.desc("height"), F.desc("bytes"), "ext").limit(max(1, width // each))
+
+
+def system_facts(files: DataFrame, functions: DataFrame, edges: DataFrame) -> DataFrame:
+    """(system, files, functions, dependencies, standalone): by the first directory; ``functions``: path, functions; ``edges``: src, dst.
+
+    Dependencies are the edges that leave a system's files; standalone are files that neither import nor are imported.
+    """
+    s = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(".")
+    ends = edges.select(F.col("src").alias("path"), F.lit(1).alias("out")).unionByName(edges.select(F.col("dst").alias("path"), F.lit(0).alias("out"))).groupBy("path").agg(F.sum("out").alias("out"))
+    one = files.select("path").distinct().join(functions.groupBy("path").agg(F.max(F.size("functions")).alias("n")), "path", "left").join(ends, "path", "left")
+    return one.groupBy(s.alias("system")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("functions"), F.coalesce(F.sum("out"), F.lit(0)).alias("dependencies"), F.count_if(F.col("out").isNull()).alias("standalone"))
+
+
 def systems(files: DataFrame) -> DataFrame:
     """(system, files, bytes): by the first directory; files at the top are '.'."""
     s = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).otherwise(".")

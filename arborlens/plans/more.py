@@ -16,6 +16,7 @@ from arborlens.functions import text as T
 from arborlens.functions.paths import base_name, dir_name
 from arborlens.operators import activity as A
 from arborlens.operators import coverage, handoff, inventory, resolve
+from arborlens.operators.events import agents
 from arborlens.operators.ranged import with_previous
 from arborlens.plans import views as V
 from arborlens.plans.reference import ROUTES, SKILLS, _ago, _diff, _drift, _edges
@@ -160,6 +161,53 @@ def rust_literals(s, d):
     return table(s, d, "documents").filter(F.col("doc_kind").isNotNull() & F.col("source").isNotNull()).select("doc_id", F.array_join(T.rust_strings(text), "|").alias("strings"))
 
 
+@query
+def common_sources(s, d):
+    return inventory.common_sources(V.files(s, d, "size"))
+
+
+@query
+def depth_precedence(s, d):
+    n = V.files(s, d, "size").groupBy("root").agg(F.count(F.lit(1)).alias("files"))
+    return n.select("root", inventory.depth_of(F.length("root") % 3, F.length("root") % 2, F.col("files")).alias("depth"))
+
+
+@query
+def skyline_fitted(s, d):
+    return inventory.fitted(inventory.skyline(V.files(s, d)), 30).select("ext", "height")
+
+
+@query
+def system_facts(s, d):
+    e = V.edges(s, d)
+    functions = e.select(F.col("dst").alias("path"), F.array_repeat(F.lit("f"), F.length("dst") % 4).alias("functions")).distinct()
+    files = e.select(F.col("dst").alias("path")).unionByName(V.files(s, d, "size").select("path"))
+    return inventory.system_facts(files, functions, _edges(s, d))
+
+
+@query
+def agent_files(s, d):
+    a = table(s, d, "handoff_artifact").select("artifact_id", "written_at", "agent_history").distinct()
+    a = cut(a.select("artifact_id", agents(F.col("agent_history")).alias("h")), "histories")
+    return a.filter(F.col("h").isNotNull()).select("artifact_id", F.size(handoff.last_agents(F.col("h"), 2)).alias("entries"), F.array_join(handoff.edited_files(F.col("h")), "\n").alias("files")).distinct()
+
+
+@query
+def go_recovered(s, d):
+    """Go texts read without a parser; every third lacks its package clause."""
+    code = V.files(s, d, "size").select("root", "file_id", "path").join(V.contents(s, d), "file_id")
+    head = F.when(F.col("file_id") % 3 == 0, "").otherwise("package x\n\nfunc A() {}\n\nfunc (t T) M() {}\n\nfunc B[K any](k K) {}\n")
+    return extract.recovered(extract.go_fallback(cut(code.select("root", "path", head.alias("content")), "texts")), ["root"])
+
+
+@query
+def go_functions(s, d):
+    code = V.files(s, d, "size").select("root", "file_id", "path")
+    head = F.when(F.col("file_id") % 3 == 0, "func A() {}\n").when(F.col("file_id") % 3 == 1, "package x\nfunc A() {\n").otherwise("package x\n\nimport \"fmt\"\n\nfunc A() {}\n\nfunc (t T) M() {}\n\nfunc B[K any](k K) {}\n")
+    one = extract.go_fallback(cut(code.select("file_id", "path", head.alias("content")), "texts"))
+    return one.select("file_id", F.array_join("imports", ",").alias("imports"), F.array_join("functions", ",").alias("functions"), "skipped")
+
+
 # extraction of statements, manifests
 
 

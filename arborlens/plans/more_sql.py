@@ -85,6 +85,20 @@ _SKILLS = f"""tasks AS (SELECT m.id, category, found[:5] AS files, list_sort(lis
 points AS ({" UNION ALL ".join(_skill(*s) for s in SKILLS)})"""
 
 SQL = {
+    "common_sources": f"""WITH {_F}, n AS (SELECT lower(ext) AS ext, count(*) AS files FROM f WHERE {R._language("path")} IS NOT NULL GROUP BY 1 ORDER BY files DESC, ext LIMIT 5) SELECT ext, files, CAST(sum(files) OVER () AS BIGINT) AS matched FROM n""",
+    "depth_precedence": f"""WITH {_F} SELECT root, CAST(CASE WHEN length(root) % 3 > 0 THEN length(root) % 3 WHEN length(root) % 2 > 0 THEN length(root) % 2 WHEN count(*) > 5000 THEN 2 WHEN count(*) > 2000 THEN 3 ELSE 4 END AS INT) AS depth FROM f GROUP BY root""",
+    "skyline_fitted": f"WITH {_F}, {R._CODE} SELECT ext, height FROM sky ORDER BY height DESC, bytes DESC, ext LIMIT 4",
+    "system_facts": f"""WITH {_F}, {_L}, a AS (SELECT dst AS path FROM edges UNION SELECT path FROM f), n AS (SELECT dst AS path, max(length(dst) % 4) AS n FROM edges GROUP BY dst), o AS (SELECT path, sum(o) AS o FROM (SELECT src AS path, 1 AS o FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY path)
+      SELECT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^[^/]*') ELSE '.' END AS system, count(*) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS functions, CAST(coalesce(sum(o), 0) AS BIGINT) AS dependencies, count(*) FILTER (o IS NULL) AS standalone
+      FROM a LEFT JOIN n USING (path) LEFT JOIN o USING (path) GROUP BY 1""",
+    "agent_files": """WITH once AS (SELECT DISTINCT artifact_id, written_at, agent_history, CASE WHEN json_valid(agent_history) THEN agent_history::JSON END AS v FROM handoff_artifact),
+      twice AS (SELECT artifact_id, CASE WHEN json_type(v) = 'VARCHAR' THEN CASE WHEN json_valid(v->>'$') THEN (v->>'$')::JSON END ELSE v END AS v FROM once), lists AS (SELECT row_number() OVER () AS rn, artifact_id, from_json(CASE json_type(v) WHEN 'OBJECT' THEN json_array(v) WHEN 'ARRAY' THEN v END, '["JSON"]') AS l FROM twice),
+      held AS (SELECT * FROM lists WHERE l IS NOT NULL), flat AS (SELECT rn, i, unnest(generate_series(1, len(fs))) AS k, unnest(fs) AS x FROM (SELECT rn, i, from_json(CASE WHEN json_type(e->'files_edited') = 'ARRAY' THEN e->'files_edited' END, '["JSON"]') AS fs FROM (SELECT rn, unnest(generate_series(1, len(l))) AS i, unnest(l) AS e FROM held)) WHERE fs IS NOT NULL),
+      named AS (SELECT rn, i, k, CASE WHEN json_type(x) = 'OBJECT' THEN x->>'path' WHEN json_type(x) = 'VARCHAR' THEN x->>'$' END AS p FROM flat), firsts AS (SELECT rn, p, min((i, k)) AS place FROM named WHERE p IS NOT NULL GROUP BY rn, p), joined AS (SELECT rn, string_agg(p, E'\\n' ORDER BY place) AS files FROM firsts GROUP BY rn)
+      SELECT DISTINCT artifact_id, CAST(least(len(l), 2) AS INT) AS entries, coalesce(files, '') AS files FROM held LEFT JOIN joined USING (rn)""",
+    "go_recovered": f"""WITH {_F}, t AS (SELECT f.root, f.file_id % 3 <> 0 AS ok FROM f JOIN (SELECT DISTINCT file_id FROM contents WHERE content IS NOT NULL) c USING (file_id) WHERE {R._language("path")} = 'go')
+      SELECT root, CASE WHEN bool_or(ok) THEN 'fallback' ELSE 'unavailable' END AS status, printf('recovered %d of %d files', count(*) FILTER (ok), count(*)) AS detail FROM t GROUP BY root""",
+    "go_functions": f"""WITH {_F} SELECT file_id, CASE WHEN file_id % 3 = 2 THEN 'fmt' ELSE '' END AS imports, CASE WHEN file_id % 3 = 2 THEN 'A,B' ELSE '' END AS functions, file_id % 3 <> 2 AS skipped FROM f WHERE {R._language("path")} = 'go'""",
     "skill_match": f"""WITH {R._MENTIONS}, {R._INTENT}, {_SKILLS} SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY points + extra DESC, name) AS INT) AS nth, name, CAST(points + extra AS INT) AS score, reason FROM points WHERE points > 0 QUALIFY nth <= 3""",
     "resolve_real": f"WITH {_F}, {_REAL} SELECT * FROM resolved",
     "resolve_strategies": f"WITH {_F}, {_REAL} SELECT strategy, {R._language('src')} AS language, count(DISTINCT (root, src, spec)) AS imports FROM resolved GROUP BY 1, 2",
