@@ -14,7 +14,6 @@ from arborlens.functions.dims import HUB
 from arborlens.functions.text import control, is_source
 from arborlens.operators.ranged import with_previous
 from arborlens.operators.sessions import sessionize
-from arborlens.scratch import cut
 
 TOUCHES = ("CREATE", "WRITE")
 GONE = ("REMOVE", "RENAME")
@@ -78,12 +77,12 @@ def debounced(events: DataFrame, window_us: int, key: list[str] = ("root", "path
     processed at once (leading edge), its last one when the burst is over (trailing edge).
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = with_previous(events.select(*key, "event_id", "ts", "op"), list(key), ["ts", "event_id"], ["op", "ts", "event_id"])
-    skipped = F.col("has_prev") & (F.col("op") == "WRITE") & (F.col("prev_op") == "WRITE") & (us("ts") - us("prev_ts") < window_us)
-    rows = cut(rows.select(*key, "event_id", "ts", F.coalesce(skipped, F.lit(False)).alias("skipped"), "prev_event_id"), "debounced")
-    # a burst goes on at an event whose successor is skipped
-    goes_on = rows.filter("skipped").select(F.col("prev_event_id").alias("event_id"), F.lit(True).alias("goes_on"))
-    return rows.join(goes_on, "event_id", "left").select(*key, "event_id", "ts", "skipped", (F.col("skipped") & F.col("goes_on").isNull()).alias("last_of_burst"))
+    rows = with_previous(events.select(*key, "event_id", "ts", "op"), list(key), ["ts", "event_id"], ["op", "ts"], ahead=["op", "ts"])
+    write = F.col("op") == "WRITE"
+    skipped = F.col("has_prev") & write & (F.col("prev_op") == "WRITE") & (us("ts") - us("prev_ts") < window_us)
+    goes_on = F.col("has_next") & write & (F.col("next_op") == "WRITE") & (us("next_ts") - us("ts") < window_us)
+    skipped, goes_on = F.coalesce(skipped, F.lit(False)), F.coalesce(goes_on, F.lit(False))
+    return rows.select(*key, "event_id", "ts", skipped.alias("skipped"), (skipped & ~goes_on).alias("last_of_burst"))
 
 
 def unchanged(events: DataFrame, key: list[str] = ("root", "path")) -> DataFrame:

@@ -123,4 +123,11 @@ def p5_streamed(spark: SparkSession, d: str) -> DataFrame:
     return drained(spark, f"{d}/fs_events.parquet", "root", "ts", "event_id", SESSION_GAP_US, lateness).select("root", "first_event_id", "last_event_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_importers, p2_snapshots, p3_found, p3_moves, p3_table, p5_found, p5_sessions, p5_streamed, p6_found, p6_artifacts, p6_edits)}
+def p5_ambiguous_ids(spark: SparkSession, d: str) -> DataFrame:
+    """One row: event ids, and those that were delivered with more than one root and time, which sessions and runs would take for several events."""
+    e = with_sound_op(table(spark, d, "fs_events").select("event_id", "root", "ts", "op"))
+    per = e.groupBy("event_id").agg((F.min(F.struct("root", "ts")) != F.max(F.struct("root", "ts"))).alias("several"))
+    return per.agg(F.count(F.lit(1)).alias("ids"), F.count_if("several").alias("ambiguous"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_importers, p2_snapshots, p3_found, p3_moves, p3_table, p5_found, p5_sessions, p5_streamed, p5_ambiguous_ids, p6_found, p6_artifacts, p6_edits)}

@@ -113,6 +113,8 @@ SQL = {
     "p3_moves": f"WITH {_MOVES}",
     "p5_found": f"{_SESSIONS} SELECT root, first_event_id, last_event_id FROM sessions",
     "p5_sessions": f"{_SESSIONS} SELECT root, first_event_id, last_event_id, started_at, ended_at, duration_us, events FROM sessions",
+    "p5_ambiguous_ids": """WITH n AS (SELECT event_id, count(DISTINCT (root, ts)) AS n FROM fs_events WHERE ts IS NOT NULL AND upper(regexp_replace(op, '^\\s+|\\s+$', '', 'g')) IN ('CREATE', 'WRITE', 'REMOVE', 'RENAME') GROUP BY event_id)
+      SELECT count(*) AS ids, count(*) FILTER (n > 1) AS ambiguous FROM n""",
     "p5_streamed": f"{_SESSIONS} SELECT root, first_event_id, last_event_id FROM sessions",
     "p6_found": f"""WITH {_ARTIFACTS} {_CHILDREN}
       UNION ALL SELECT artifact_id, 'agent_history', -1, pos, e->>'agent_id' FROM agents

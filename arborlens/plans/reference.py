@@ -333,7 +333,9 @@ def debounce_batch(s, d):
 
 @query
 def unchanged_writes(s, d):
-    return A.unchanged(V.events(s, d, "root", "ts", "op", "path", "lines", "size"))
+    # sizes and lines in steps, since hardly a write here leaves both exactly as they were
+    e = V.events(s, d, "root", "ts", "op", "path", "lines", "size")
+    return A.unchanged(e.withColumns({"lines": F.floor(F.col("lines") / 200), "size": F.floor(F.col("size") / 20_000)}))
 
 
 @query

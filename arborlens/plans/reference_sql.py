@@ -212,7 +212,7 @@ SQL = {
     "debounce_batch": f"""WITH {_EVENTS}, n AS (SELECT root, path, event_id, ts, op = 'WRITE' AND coalesce(lag(op) OVER w = 'WRITE', false) AND ts - lag(ts) OVER w < INTERVAL 2 SECOND AS skipped,
         coalesce(lead(op) OVER w = 'WRITE' AND lead(ts) OVER w - ts < INTERVAL 2 SECOND, false) AS more FROM e WINDOW w AS (PARTITION BY root, path ORDER BY ts, event_id))
       SELECT root, path, event_id, ts, coalesce(skipped, false) AS skipped, coalesce(skipped, false) AND NOT more AS last_of_burst FROM n""",
-    "unchanged_writes": f"WITH {_EVENTS} SELECT root, path, event_id FROM e WINDOW w AS (PARTITION BY root, path ORDER BY ts, event_id) QUALIFY op = 'WRITE' AND size = lag(size) OVER w AND lines = lag(lines) OVER w",
+    "unchanged_writes": f"WITH {_EVENTS} SELECT root, path, event_id FROM e WINDOW w AS (PARTITION BY root, path ORDER BY ts, event_id) QUALIFY op = 'WRITE' AND size // 20000 = lag(size // 20000) OVER w AND lines // 200 = lag(lines // 200) OVER w",
     "stateful_delta": f"""WITH {_EVENTS}, s AS (SELECT *, CASE WHEN op IN ('REMOVE', 'RENAME') THEN 0 WHEN lines IS NOT NULL OR size IS NOT NULL THEN coalesce(lines, 0) END AS l,
         CASE WHEN op IN ('REMOVE', 'RENAME') THEN 0 WHEN lines IS NOT NULL OR size IS NOT NULL THEN coalesce(size, 0) END AS z FROM e)
       SELECT root, path, event_id, CAST(CASE WHEN l IS NULL THEN 0 ELSE l - coalesce(last_value(l IGNORE NULLS) OVER w, 0) END AS BIGINT) AS line_delta,

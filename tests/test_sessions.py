@@ -86,6 +86,13 @@ def test_previous_rows_over_edges(spark):
         for a, b in zip([None, *es], es):
             want[b[0]] = (a is not None, a and a[0])
     assert got == want
+    both = with_previous(df, ["root"], ["ts", "event_id"], ["event_id"], ahead=["event_id", "op"]).collect()
+    assert {x["event_id"]: (x["has_prev"], x["prev_event_id"]) for x in both} == want
+    behind = {}
+    for es in ordered(rows).values():
+        for a, b in zip(es, [*es[1:], None]):
+            behind[a[0]] = (b is not None, b and b[0], b and b[3])
+    assert {x["event_id"]: (x["has_next"], x["next_event_id"], x["next_op"]) for x in both} == behind
 
 
 def test_sessions_count_events_of_a_kind(spark):
