@@ -22,15 +22,16 @@ HEAVY_SHARE = 0.01
 
 
 def _importer_pairs(spark: SparkSession, d: str) -> DataFrame:
-    reports = table(spark, d, "importers_report").select("root", "file", "importers")
+    # a plain path is null if the path is: filters on plain paths would compute them twice
+    reports = table(spark, d, "importers_report").filter(F.col("file").isNotNull()).select("root", "file", "importers")
     # a report without importers keeps a null one, so that its file has a row
-    one = reports.select(plain_path(F.col("file"), F.col("root")).alias("path"), "root", F.explode_outer(F.array_distinct("importers")).alias("importer"))
-    return one.filter(F.col("path").isNotNull()).select("path", plain_path(F.col("importer"), F.col("root")).alias("importer"))
+    one = reports.select(plain_path(F.col("file"), F.col("root")).alias("path"), "root", F.array_distinct("importers").alias("importers"))
+    return one.select("path", "root", F.explode_outer("importers").alias("importer")).select("path", plain_path(F.col("importer"), F.col("root")).alias("importer"))
 
 
 def _hub_pairs(spark: SparkSession, d: str) -> DataFrame:
-    hubs = table(spark, d, "hub_summary").select("snapshot_id", "root", "path", "importers")
-    return hubs.select(plain_path(F.col("path"), F.col("root")).alias("path"), "snapshot_id", "importers").filter(F.col("path").isNotNull())
+    hubs = table(spark, d, "hub_summary").filter(F.col("path").isNotNull()).select("snapshot_id", "root", "path", "importers")
+    return hubs.select(plain_path(F.col("path"), F.col("root")).alias("path"), "snapshot_id", "importers")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

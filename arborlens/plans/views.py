@@ -35,16 +35,19 @@ def contents(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst): which file imports which, over all roots, by the importers and the imports that reports list."""
-    raw = table(spark, d, "importers_report").select("root", "file", "importers", "imports")
-    into = raw.select("root", F.explode("importers").alias("src"), F.col("file").alias("dst"))
-    out_of = raw.select("root", F.col("file").alias("src"), F.explode("imports").alias("dst"))
-    return into.unionByName(out_of).select(plain_path(F.col("src"), F.col("root")).alias("src"), plain_path(F.col("dst"), F.col("root")).alias("dst")).dropna().distinct()
+    # a report's own file is made plain once, not for each of its importers
+    # a plain path is null if the path is: filters on plain paths would compute them twice
+    raw = table(spark, d, "importers_report").filter(F.col("file").isNotNull()).select("root", plain_path(F.col("file"), F.col("root")).alias("own"), "importers", "imports")
+    other = plain_path(F.col("other"), F.col("root"))
+    into = raw.select("root", "own", F.explode(F.array_distinct("importers")).alias("other")).filter(F.col("other").isNotNull()).select(other.alias("src"), F.col("own").alias("dst"))
+    out_of = raw.select("root", "own", F.explode(F.array_distinct("imports")).alias("other")).filter(F.col("other").isNotNull()).select(F.col("own").alias("src"), other.alias("dst"))
+    return into.unionByName(out_of).distinct()
 
 
 def changed(spark: SparkSession, d: str) -> DataFrame:
     """(path): files reported since :data:`CHANGED_SINCE`."""
-    raw = table(spark, d, "importers_report").filter(F.col("reported_at") >= F.lit(CHANGED_SINCE).cast("timestamp_ntz"))
-    return raw.select(plain_path(F.col("file"), F.col("root")).alias("path")).dropna().distinct()
+    raw = table(spark, d, "importers_report").filter((F.col("reported_at") >= F.lit(CHANGED_SINCE).cast("timestamp_ntz")) & F.col("file").isNotNull())
+    return raw.select(plain_path(F.col("file"), F.col("root")).alias("path")).distinct()
 
 
 def events(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
