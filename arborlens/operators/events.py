@@ -13,7 +13,8 @@ OPERATIONS = ("CREATE", "WRITE", "REMOVE", "RENAME")
 
 def with_sound_op(events: DataFrame) -> DataFrame:
     """Rows with a ``ts`` and a known operation, ``op`` in plain upper case. Others, nulls too, are left out."""
-    op = F.upper(F.regexp_replace("op", r"^\s+|\s+$", ""))
+    # most are plain already; the filter computes the column a second time
+    op = F.when(F.col("op").isin(*OPERATIONS), F.col("op")).otherwise(F.upper(F.regexp_replace("op", r"^\s+|\s+$", "")))
     return events.withColumn("op", op).filter(F.col("ts").isNotNull() & F.col("op").isin(*OPERATIONS))
 
 
