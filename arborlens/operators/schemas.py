@@ -79,6 +79,13 @@ def parent(path: str) -> str:
     return path[:-2] if path.endswith("[]") else path.rpartition(".")[0]
 
 
+def last(path: str) -> str:
+    """The last step of a path."""
+    if "\\" in path:
+        return parts(path)[-1]
+    return "[]" if path.endswith("[]") else path.rpartition(".")[2]
+
+
 def typed_paths(value, at: str = "", found: set[tuple[str, str]] | None = None) -> set[tuple[str, str]]:
     """(path, type) of every value other than null below an object or array."""
     found = set() if found is None else found
@@ -143,7 +150,7 @@ class _Schema:
             q = todo.pop()
             out.append((q[len(path) :], self.kinds[q]))
             todo += self.kids.get(q, ())
-        return parts(path)[-1], tuple(sorted(out))
+        return last(path), tuple(sorted(out))
 
 
 class _Script:
@@ -157,8 +164,8 @@ class _Script:
         """The cost of turning what lies below ``a`` into what lies below ``z``; ``told`` gets the pairs and leftovers of this level."""
         if told is None and (a, z) in self.known:
             return self.known[a, z]
-        was = {parts(p)[-1]: p for p in self.old.kids.get(a, ())}
-        now = {parts(p)[-1]: p for p in self.new.kids.get(z, ())}
+        was = {last(p): p for p in self.old.kids.get(a, ())}
+        now = {last(p): p for p in self.new.kids.get(z, ())}
         total = 0
         for name in was.keys() & now.keys():
             p, q = was[name], now[name]
