@@ -66,10 +66,11 @@ def sessionize_stream(events: DataFrame, key: str, time: str, event_id: str, gap
     return events.select(key, time, event_id).groupBy(key).applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(spark: SparkSession, events: str, key: str, time: str, event_id: str, gap_us: int, lateness_us: int, files_at_once: int = 64) -> DataFrame:
+def drained(spark: SparkSession, events: str, key: str, time: str, event_id: str, gap_us: int, lateness_us: int, files_at_once: int | None = None) -> DataFrame:
     """The sessions of all events of a folder of parquet files, read as a stream until it is empty, open ones too.
 
-    Files are taken in batches, and the state is what :func:`sessionize_stream` keeps. Then one row later than all, of a key
+    Files are taken at once, so that none is late; with ``files_at_once`` in batches, for files that come in order of receipt
+    and events at most ``lateness_us`` late. The state is what :func:`sessionize_stream` keeps. Then one row later than all, of a key
     that no event has, lets the watermark pass every timer. A key's events go through one task: for
     histories with hot keys the batch form is the better choice. Columns as :func:`sessionize_stream`.
     """
@@ -83,7 +84,9 @@ def drained(spark: SparkSession, events: str, key: str, time: str, event_id: str
     for more in (False, True):
         if more:
             closing.filter(F.col(time).isNotNull()).coalesce(1).write.mode("append").parquet(f"{at}/closing")
-        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(pattern).withColumn("__closing", F.lit(False))
+        reader = spark.readStream.schema(schema)
+        reader = reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader
+        source = reader.parquet(pattern).withColumn("__closing", F.lit(False))
         both = with_sound_op(source.unionByName(spark.readStream.schema(closing.schema).parquet(f"{at}/closing")).filter(F.col(event_id).isNotNull()))
         known = F.struct(F.col(key).alias("k"), F.col("__closing").alias("closing"))  # a null key is a key too
         timed = both.select(known.alias("__key"), F.col(time).cast("timestamp").alias("__at"), F.col(event_id).cast("bigint").alias("__id")).withWatermark("__at", f"{lateness_us // 1000} milliseconds")
