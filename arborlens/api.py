@@ -193,11 +193,10 @@ def build_handoff(files: DataFrame, diff: DataFrame, edges: DataFrame, events: D
     risk = graph.risk_files(edges, changed)
     count = inventory.totals(files).select("files", inventory.budget_for(F.col("files")).alias("b"))
     hub_rows = graph.hubs(edges, "all")
-    prefix = hub_rows.agg(F.array_sort(F.collect_list(F.struct((-F.col("importers")).alias("m"), "path"))).alias("hubs")).join(F.broadcast(count.select("files")), F.lit(True))
-    delta = changed.agg(F.array_sort(F.collect_list(F.struct("path", "status"))).alias("changed"))
+    prefix = handoff.digest(hub_rows, "path", "importers").join(F.broadcast(count.select("files")), F.lit(True))  # two single rows
     return {
         "budget": count.select("b.*"), "changed": graph.first_changed(changed, risk, 60), "statuses": graph.merge_statuses(changed), "risk": risk, "hubs": hub_rows, "events": A.newest(recent, 25),
-        "prefix": prefix.select(handoff.canonical(F.struct("files", "hubs")).alias("hash")), "delta": delta.select(handoff.canonical(F.struct("changed")).alias("hash")),
+        "prefix": prefix.select(handoff.chained(F.col("files"), F.col("hash")).alias("hash")), "delta": handoff.digest(changed, "path", "status"),
     }
 
 

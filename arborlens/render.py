@@ -72,7 +72,8 @@ def markdown(title: str, bundle: dict[str, DataFrame], most: int = 20_000) -> st
     text.add(f"# {title}\n")
     for name, df in bundle.items():
         text.add(f"\n## {name.replace('_', ' ')}\n\n| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n")
-        for row in df.collect():
+        # a row takes four letters at least, so no more rows than that can fit
+        for row in df.limit(most // 4 + 1).collect():
             if not text.add("| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in row) + " |\n"):
                 return str(text)
     return str(text)

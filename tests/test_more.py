@@ -28,6 +28,12 @@ def test_storing_and_reading_hand_offs(spark, tmp_path):
     assert sorted((r["root"], r["generated_at"]) for r in lines) == [("a", T0 + timedelta(hours=n)) for n in (1, 2, 3)] + [("b", T0)]
 
 
+def test_digests_tell_rows_not_order(spark):
+    one = lambda rows: handoff.digest(spark.createDataFrame(rows, "path string, n int"), "path", "n").first()["hash"]
+    assert one([("a", 1), ("b", None)]) == one([("b", None), ("a", 1)]) != one([("a", 1), ("b", 0)])
+    assert one([("a", 1), ("a", 1)]) != one([("a", 1)]) != one([])
+
+
 def test_rendering_counts_what_it_leaves_out(spark):
     rows = spark.createDataFrame([("k", i, f"p{i}") for i in range(4)], "key string, nth int, item string")
     none = rows.limit(0)
