@@ -125,14 +125,14 @@ def resolve(tries: DataFrame, idx: DataFrame) -> DataFrame:
     tries = cut(tries, "tries")  # imports are looked through and attempts made once
     asked = tries.select("root", "family", "kind", "key").distinct()
     looked = asked.select("root", "family", "kind", "key", F.explode(_endings(F.col("kind"), F.col("key"))).alias("t")).select("root", "family", "kind", "key", "t.rung", F.col("t.full").alias("full"))
-    hits = looked.join(idx.withColumnRenamed("key", "full"), ["root", "family", "kind", "full"]).select("root", "family", "kind", "key", "rung", "path")
+    # merged, not left to the planner: it takes the size of the files for that of the rows, which is several times as large, and would broadcast them
+    hits = looked.join(idx.withColumnRenamed("key", "full").hint("merge"), ["root", "family", "kind", "full"]).select("root", "family", "kind", "key", "rung", "path")
     hits = cut(hits, "hits")
     first = hits.groupBy("root", "family", "kind", "key").agg(F.min("rung").alias("rung"), F.count(F.lit(1)).alias("n"))
     first = first.filter((F.col("kind") != "go") | (F.col("n") == 1)).drop("n")
-    won = hits.join(first, ["root", "family", "kind", "key", "rung"])
-    best = tries.join(first.select("root", "family", "kind", "key"), ["root", "family", "kind", "key"], "left_semi")
-    chosen = best.groupBy("root", "src", "spec").agg(F.min(F.struct("strategy", "kind", "family", "key")).alias("b")).select("root", "src", "spec", "b.*")
-    return chosen.join(won, ["root", "family", "kind", "key"]).select("root", "src", "spec", "strategy", F.col("path").alias("dst")).distinct()
+    best = tries.join(first.hint("merge"), ["root", "family", "kind", "key"])
+    chosen = best.groupBy("root", "src", "spec").agg(F.min(F.struct("strategy", "kind", "family", "key", "rung")).alias("b")).select("root", "src", "spec", "b.*")
+    return chosen.join(hits.hint("merge"), ["root", "family", "kind", "key", "rung"]).select("root", "src", "spec", "strategy", F.col("path").alias("dst")).distinct()
 
 
 def edges(resolved: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Resolution on small trees with results worked out by hand."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from arborlens.functions.extract import analyses, function_name, import_path
 from arborlens.operators import graph
 from arborlens.operators import resolve as R
+from arborlens.plans import reference
 
 
 def resolved(spark, files, imports, module=None, aliases=None):
@@ -54,6 +56,22 @@ def test_alias_targets_in_order(spark):
     assert got == {("app.ts", "@/x", "gen/x.ts"), ("app.ts", "@/deep/y", "lib/deep/y.ts"), ("app.ts", "whole", "src/a/x.ts")}
 
 
+@pytest.mark.parametrize("name", ["resolve_degree"])
+def test_lookups_are_not_broadcast(spark, data, monkeypatch, name):
+    """Small files hold many rows: what their size tells the planner is no reason to send keys, hits or files to the driver."""
+    plans, cut = {}, R.cut
+
+    def seen(df, step):
+        plans[step] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, step)
+
+    monkeypatch.setattr(R, "cut", seen)
+    seen(reference.QUERIES[name](spark, data), "result")
+    for step in ("hits", "result"):
+        assert "SortMergeJoin" in plans[step]
+        assert "Broadcast" not in plans[step]
+
+
 def test_normalised(spark):
     cases = {'"pkg/util"': "pkg/util", "app.core.config": "app/core/config", "../app.core": "../app.core", "crate::feature::parser": "feature/parser", "super::module::item": "super/module/item"}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
