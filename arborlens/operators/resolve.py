@@ -1,8 +1,8 @@
 """Imports resolved to files by ranked first match.
 
-An import becomes a short list of attempts (strategy, kind of key, key), the files an index of keys. Every
-pair of attempt and ending is one equi-join key, so a suffix or directory match never compares paths with
-patterns. Attempts are resolved once for each distinct (root, family, kind, key): a popular import
+An import becomes a short list of attempts (strategy, kind of key, key), the files an index of keys. An
+attempt is one equi-join key, since endings are cut off the index's keys instead of tried on attempts, and a suffix or
+directory match never compares paths with patterns. Attempts are resolved once for each distinct (root, family, kind, key): a popular import
 costs one lookup, however many files make it. The lowest ending that hits a file of a language of the
 same family wins, with *all* files at that key; of an import's attempts the first strategy that hits wins.
 """
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.functions.dims import LADDER
-from arborlens.functions.paths import dir_name
-from arborlens.functions.text import family, language
+from arborlens.functions.paths import base_name, dir_name
+from arborlens.functions.text import extension, family, language
 from arborlens.scratch import cut
 
 #: Strategies in order: Go package, relative path, path alias, package of a workspace, exact, suffix, directory.
@@ -107,14 +107,23 @@ def _by_alias(one: DataFrame, aliases: DataFrame) -> DataFrame:
     return keyed.select("root", "src", "spec", "family", kinds.alias("k"), "nth", "key").select("root", "src", "spec", "family", (F.lit(ALIAS) + 2 * F.col("nth") + F.col("k.o")).cast("int").alias("strategy"), "k.kind", "key")
 
 
-def _endings(kind: Column, key: Column) -> Column:
-    """Keys to look up for an attempt, with their order."""
-    ladder = F.array(*[F.struct(F.lit(i).alias("rung"), F.lit(e).alias("e")) for i, e in enumerate(LADDER)])
-    tried = F.transform(ladder, lambda x: F.struct(x["rung"].alias("rung"), F.concat(key, x["e"]).alias("full")))
-    tried = F.when(key == "", F.array(F.struct(F.lit(0).alias("rung"), F.lit("__init__.py").alias("full")))).otherwise(tried)
+def _reaching(kind: Column, key: Column) -> Column:
+    """What attempts ask for to reach a key of the index, with the order of that: the key without an ending of the ladder.
+
+    An ending is nothing, the extension, or the name with its ``/``, so at most three need a look at a key. Nothing at all asks for ``__init__.py``.
+    """
+    rungs = F.create_map(*[F.lit(x) for i, e in enumerate(LADDER) for x in (e, i)])
+    ends = F.filter(F.array_distinct(F.array(extension(key), F.concat(F.lit("/"), base_name(key)), F.lit(""))), lambda e: rungs[e].isNotNull() & (F.length(e) < F.length(key)))
+    cuts = F.transform(ends, lambda e: F.struct(rungs[e].alias("rung"), F.left(key, F.length(key) - F.length(e)).alias("full")))
+    whole = lambda full: F.array(F.struct(F.lit(0).alias("rung"), full.alias("full")))
+    return F.when(~kind.isin("exact", "suffix"), whole(key)).when(key == "__init__.py", F.concat(whole(F.lit("")), cuts)).otherwise(cuts)
+
+
+def _asking(kind: Column, key: Column) -> Column:
+    """Keys to look up for an attempt, with their order: a directory also by its last names."""
     parts = F.split(key, "/")
     shorter = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct((i - 1).alias("rung"), F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("full")))
-    return F.when(kind.isin("exact", "suffix"), tried).when(kind == "dir", shorter).otherwise(F.array(F.struct(F.lit(0).alias("rung"), key.alias("full"))))
+    return F.when(kind == "dir", shorter).otherwise(F.array(F.struct(F.lit(0).alias("rung"), key.alias("full"))))
 
 
 def resolve(tries: DataFrame, idx: DataFrame) -> DataFrame:
@@ -124,9 +133,10 @@ def resolve(tries: DataFrame, idx: DataFrame) -> DataFrame:
     """
     tries = cut(tries, "tries")  # imports are looked through and attempts made once
     asked = tries.select("root", "family", "kind", "key").distinct()
-    looked = asked.select("root", "family", "kind", "key", F.explode(_endings(F.col("kind"), F.col("key"))).alias("t")).select("root", "family", "kind", "key", "t.rung", F.col("t.full").alias("full"))
+    looked = asked.select("root", "family", "kind", "key", F.explode(_asking(F.col("kind"), F.col("key"))).alias("t")).select("root", "family", "kind", "key", F.col("t.rung").alias("step"), "t.full")
+    keyed = idx.select("root", "family", "kind", "path", F.explode(_reaching(F.col("kind"), F.col("key"))).alias("t")).select("root", "family", "kind", "path", "t.rung", "t.full")
     # merged, not left to the planner: it takes the size of the files for that of the rows, which is several times as large, and would broadcast them
-    hits = looked.join(idx.withColumnRenamed("key", "full").hint("merge"), ["root", "family", "kind", "full"]).select("root", "family", "kind", "key", "rung", "path")
+    hits = looked.join(keyed.hint("merge"), ["root", "family", "kind", "full"]).select("root", "family", "kind", "key", (F.col("step") + F.col("rung")).alias("rung"), "path")
     hits = cut(hits, "hits")
     first = hits.groupBy("root", "family", "kind", "key").agg(F.min("rung").alias("rung"), F.count(F.lit(1)).alias("n"))
     first = first.filter((F.col("kind") != "go") | (F.col("n") == 1)).drop("n")

@@ -1,8 +1,11 @@
 """Resolution on small trees with results worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from arborlens.functions.dims import LADDER
 from arborlens.functions.extract import analyses, function_name, import_path
 from arborlens.operators import graph
 from arborlens.operators import resolve as R
@@ -56,7 +59,7 @@ def test_alias_targets_in_order(spark):
     assert got == {("app.ts", "@/x", "gen/x.ts"), ("app.ts", "@/deep/y", "lib/deep/y.ts"), ("app.ts", "whole", "src/a/x.ts")}
 
 
-@pytest.mark.parametrize("name", ["resolve_degree"])
+@pytest.mark.parametrize("name", ["resolve_degree", "resolve_ladder"])
 def test_lookups_are_not_broadcast(spark, data, monkeypatch, name):
     """Small files hold many rows: what their size tells the planner is no reason to send keys, hits or files to the driver."""
     plans, cut = {}, R.cut
@@ -72,6 +75,25 @@ def test_lookups_are_not_broadcast(spark, data, monkeypatch, name):
         assert "Broadcast" not in plans[step]
 
 
+def test_endings_in_order(spark):
+    """Against trying every ending on every attempt."""
+    asked = ["a", "a/b", "a.b", "a/", "b", "", "__init__", "a/index", "index.js", "a/__init__.py", "mod", "b/c", "A"]
+    odd = ["__init__.py", "index.js", ".py", "/mod.rs", "", "a.PY", "a.tar.go", "/a", "a/b/", "b/c/index.js/index.js"]
+    some = random.Random(7)
+    keys = {k: sorted({*odd, *some.sample([a + e for a in asked for e in LADDER], 60)}) for k in ("exact", "suffix", "whole", "dir")}
+    idx = spark.createDataFrame([("r", k, x, "f", f"{k}:{x}") for k, xs in keys.items() for x in xs], "root string, kind string, key string, family string, path string")
+    tries = spark.createDataFrame([("r", "s", f"{k}:{a}", "f", R.EXACT, k, a) for k in keys for a in asked], "root string, src string, spec string, family string, strategy int, kind string, key string")
+
+    def first(kind, key):
+        full = ["__init__.py"] if key == "" else [key + e for e in LADDER]
+        parts = key.split("/")
+        tried = full if kind in ("exact", "suffix") else ["/".join(parts[i:]) for i in range(len(parts))] if kind == "dir" else [key]
+        return next((x for x in tried if x in keys[kind]), None)
+
+    want = {(f"{k}:{a}", f"{k}:{first(k, a)}") for k in keys for a in asked if first(k, a) is not None}
+    assert {(x["spec"], x["dst"]) for x in R.resolve(tries, idx).collect()} == want
+
+
 def test_normalised(spark):
     cases = {'"pkg/util"': "pkg/util", "app.core.config": "app/core/config", "../app.core": "../app.core", "crate::feature::parser": "feature/parser", "super::module::item": "super/module/item"}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
